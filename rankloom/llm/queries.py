@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, packing, url_filter, warc
+from . import decontam, hnsw, packing, toxicity, url_filter, warc
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -83,6 +83,18 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold() == toxicity.HELD_OUT, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hnsw.valid(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hnsw.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
+    "op7_hnsw": op7_hnsw,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL}
