@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, hnsw, packing, toxicity, url_filter, warc
+from . import decontam, hnsw, packing, substring, suffix, toxicity, url_filter, warc
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -90,6 +90,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), x AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS s FROM d, unnest(generate_series(1, len(w) - 19)) AS t(i) WHERE len(w) >= 20
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM x) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM later, unnest(generate_series(i, i + 19)) AS t(p)
+), g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE (
+         SELECT coalesce(list(w[i] ORDER BY i), []) FROM unnest(generate_series(1, len(w))) AS t(i) WHERE NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hnsw.valid(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return hnsw.search(rows, rows.where("vec_id % 50 = 0"), k=5)
@@ -102,12 +123,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_hnsw": op7_hnsw,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-ORACLE: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL}
+ORACLE: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL}
