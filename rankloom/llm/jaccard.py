@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import chunks as ch, textblocks as tb
 from .chunks import Chunk
@@ -200,7 +200,7 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tuple[DataF
     held = _sets_of(chunks, members, met.select(F.explode(F.array("center", "node")).alias("node")).distinct(), n)
     links = table(_verified(pairs, held, percent), "verified")
     labels = components(links)
-    rest = table(_rest(met, labels), "rest")
+    rest = table(_rest(met, labels, held, percent, buckets), "rest")
     if rest.limit(1).count():
         more = table(_verified(rest, held, percent), "verified")
         if more.limit(1).count():
@@ -221,15 +221,102 @@ def _sets_of(chunks: DataFrame, members: DataFrame, nodes: DataFrame, n: int) ->
     return table(ch.over_chunks(ch.with_replies(chunks, asked, "inner"), give, SETS), "sets")
 
 
-def _rest(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one signature, without its centre, that are still in different components."""
+def _alone(held: DataFrame, buckets: int) -> DataFrame:
+    """(node, alone): how many of each node's n-grams no other of these nodes has."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            parts = [np.frombuffer(g.as_buffer(), _U) for g in batch.column(1)]
+            grams = np.concatenate(parts) if parts else np.zeros(0, _U)
+            node = np.repeat(nodes, [len(g) for g in parts])
+            order = np.argsort(grams, kind="stable")
+            grams, node = grams[order], node[order]
+            # one that several nodes of this batch have is sent once, as nobody's
+            first = np.concatenate([[True], grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, bool)
+            lone = first & np.append(first[1:], True)[: len(first)]
+            grams, node = grams[first], np.where(lone, node, 0)[first]
+            bounds = ch.bucket_bounds(grams, buckets)
+            rows = [(b, 0, ch.pack(grams[bounds[b] : bounds[b + 1]], node[bounds[b] : bounds[b + 1]], lone[first][bounds[b] : bounds[b + 1]])) for b in np.flatnonzero(np.diff(bounds)).tolist()]
+            yield ch._rows(ch.PACKETS, rows)
+
+    def count(bucket: int, _: list[int], blobs: list[bytes]) -> Iterator[tuple[int, int]]:
+        grams, node, lone = (np.concatenate(a) for a in zip(*(ch.unpack(b) for b in blobs), strict=True))
+        order = np.argsort(grams, kind="stable")
+        grams, node, lone = grams[order], node[order], lone[order]
+        first = np.concatenate([[True], grams[1:] != grams[:-1]])
+        only = first & np.append(first[1:], True) & lone
+        yield from zip(*(a.tolist() for a in np.unique(node[only], return_counts=True)), strict=True)
+
+    sent = held.select("node", "grams").mapInArrow(send, ch.PACKETS)
+    counted = ch.over_buckets(sent, count, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
+    return held.select("node", "n").join(counted, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _differences(edges: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """For (center, node): the elements in which both differ, how many (d), and how many (least) of them a partner shares.
+
+    Let d be the differences of x and y to a common centre c. If x and y link, d_x + d_y - 2 * common is at most
+    r * (n_x + n_y), r = (100 - percent) / (100 + percent). As one of any two nodes still in different components, say y,
+    doesn't link with c, d_y > r * (n_y + n_c). So if x links with c, common > (d_x - r * (n_x - n_c)) / 2; if not, then
+    common >= (d_x + 1 - r * (n_x + n_c + 1)) / 2, whatever y is.
+    """
+    c = held.select(F.col("node").alias("center"), F.col("grams").alias("gc"))
+    met = edges.join(held.select("node", "grams"), "node").join(c, "center").select("center", "node", "label", "grams", "gc")
+    up, down = 100 + percent, 100 - percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least, elements = [], []
+            for gx, gc in zip(batch.column(3), batch.column(4), strict=True):
+                x, c = np.frombuffer(gx.as_buffer(), _U), np.frombuffer(gc.as_buffer(), _U)
+                both = np.sort(np.concatenate([x, c]), kind="stable")
+                twice = both[1:] == both[:-1]
+                common = int(twice.sum())
+                single = np.ones(len(both), bool)
+                single[1:][twice] = False
+                single[:-1][twice] = False
+                d = both[single]
+                if 100 * common >= percent * (len(x) + len(c) - common):
+                    least.append((up * len(d) - down * (len(x) - len(c))) // (2 * up) + 1)
+                else:
+                    least.append(max(1, -(-(up * (len(d) + 1) - down * (len(x) + len(c) + 1)) // (2 * up))))
+                elements.append(d.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(least, pa.int64()), pa.array(elements, pa.list_(pa.int64()))], names=["center", "node", "label", "least", "elements"])
+
+    return met.mapInArrow(run, "center long, node long, label long, least long, elements array<long>")
+
+
+def _rest(met: DataFrame, labels: DataFrame, held: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Pairs of one centre's star, without the centre, that are still in different components and could link.
+
+    First, what a node shares with another of these is at most its n-grams that aren't its alone, so nodes with too
+    many of their own are done. Then a prefix-filtered join on differences to the centre: nodes that link must share
+    many of these, so each brings only its rarest ones, as many as it takes to meet any partner.
+    """
     of = labels.select("node", "label")
     labelled = met.join(of, "node", "left").select("sig", "center", "node", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    left = labelled.join(open_, "sig", "left_semi").select("sig", "node", "label")
-    right = left.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = left.withColumnRenamed("node", "a").join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")))
-    return pairs.select("a", "b").distinct()
+    spread = labelled.groupBy("sig", "center").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"))
+    open_ = spread.where("lo <> hi and c > 1").select("sig")
+    left = table(labelled.join(open_, "sig", "left_semi").select("center", "node", "label").distinct(), "open")
+    share = _alone(held.join(left.select("node").distinct(), "node", "left_semi"), buckets)
+    can = table(share.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent).select("node", "n", (F.col("n") - F.col("alone")).alias("most")), "can")
+    left = left.join(can.select("node"), "node", "left_semi")
+    some = left.groupBy("center").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("center")
+    differing = table(_differences(left.join(some, "center", "left_semi"), held, percent), "differences")
+    elements = differing.select("center", "node", "label", (F.size("elements") - F.col("least") + 1).alias("brings"), F.explode("elements").alias("element"))
+    seen = elements.groupBy("center", "element").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    # elements seen once meet nobody but take their places in the prefix: they are the rarest
+    met_again = elements.join(seen, ["center", "element"])
+    once = differing.select("center", "node", F.size("elements").alias("d")).join(
+        met_again.groupBy("center", "node").agg(F.count(F.lit(1)).alias("again")), ["center", "node"]).select("center", "node", (F.col("d") - F.col("again")).alias("once"))
+    rank = F.row_number().over(Window.partitionBy("center", "node").orderBy("seen", "element"))
+    prefix = met_again.join(once, ["center", "node"]).withColumn("place", rank + F.col("once")).where(F.col("place") <= F.col("brings")).select("center", "element", "node", "label")
+    prefix = table(prefix.join(can, "node"), "prefixes")
+    right = prefix.select("center", "element", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "n", "most")])
+    enough = F.least("most", "most_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+    pairs = prefix.join(right, ["center", "element"]).where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & enough)
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
 def digest(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
