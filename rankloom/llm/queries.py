@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, hnsw, jaccard, packing, substring, suffix, toxicity, url_filter, warc
+from . import decontam, hnsw, jaccard, lm, packing, substring, suffix, toxicity, url_filter, warc
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -138,6 +138,10 @@ def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -157,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_hnsw": op7_hnsw,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
