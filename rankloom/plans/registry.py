@@ -1,4 +1,4 @@
-"""Every query of the engine by name, with the SQL that gives the same rows."""
+"""Every query of the engine by name, with the SQL that gives the same rows where there is one."""
 
 from __future__ import annotations
 
@@ -6,5 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import queries as q
+
+_NAMES = (
+    "bm25_topk", "token_frequencies", "bm25_saturated_confidence", "bm25_gate", "tfidf_topk", "dense_cosine_topk", "dense_field_weighted", "dense_confidence",
+    "hashed_dense_topk", "quality_prior_rerank", "nearest_example_vote", "holdout_exclusion", "rrf_hybrid", "borda_committee", "rank_metrics", "leaderboard",
+    "gate_auroc", "precision_coverage", "latency_percentiles", "poor_match_suppression", "margin_entropy", "agreement", "reliability_bins", "abstention_scores",
+    "url_readable_target", "heading_cleanup", "normalized_text", "platt_calibration", "isotonic_calibration", "quantized_vectors",
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(q, n) for n in _NAMES}
+#: back-references, look-behinds and fitted models have no SQL form in the comparison engine
+ORACLE: dict[str, str] = {n: getattr(q, n.upper()) for n in _NAMES if hasattr(q, n.upper())}
