@@ -91,8 +91,8 @@ def store(docs: DataFrame, name: str = "chunks", chunk_bytes: int = CHUNK_BYTES)
     return chunks, chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 
-def bucket_count(size: int) -> int:
-    return max(64, size // BUCKET_BYTES)
+def bucket_count(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    return max(64, size // bucket_bytes)
 
 
 def bucket_bounds(values: np.ndarray, buckets: int) -> np.ndarray:

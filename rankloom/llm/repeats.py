@@ -24,14 +24,32 @@ _LOW = ~np.uint64(1)
 
 @dataclass
 class Units:
-    """Units of a chunk in order: owner row and the byte range of each in ``buf``, in which contexts are contiguous."""
+    """Units of a chunk in order: those of each row, and the byte range of each in ``buf``, in which contexts are contiguous."""
 
     buf: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    owner: np.ndarray
+    start: np.ndarray | None
+    end: np.ndarray | None
+    #: units of row r: from off[r] to off[r + 1]
+    off: np.ndarray
     hashes: np.ndarray
 
+    def rows(self, units: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.off, units, side="right") - 1
+
+    def bounds(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte ranges from unit ``first`` to unit ``last``; units are bytes where ``start`` is None."""
+        return (first, last + 1) if self.start is None else (self.start[first], self.end[last])
+
+    def starts(self, length: int) -> np.ndarray:
+        """First units of all windows within a row."""
+        n = int(self.off[-1]) - length + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        good = np.ones(n, bool)
+        for a, b in zip(np.maximum(self.off[:-1], self.off[1:] - length + 1).tolist(), self.off[1:].tolist(), strict=True):
+            good[a:b] = False
+        return np.flatnonzero(good)
+
 
 def word_units(chunk: Chunk) -> Units:
     """Words between ASCII white space, in a buffer where one space parts them."""
@@ -39,17 +57,17 @@ def word_units(chunk: Chunk) -> Units:
     size = end - start
     off = np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int64)
     if not len(start):
-        return Units(chunk.buf[:0], start, end, owner, np.zeros(0, np.uint64))
+        return Units(chunk.buf[:0], start, end, np.zeros(chunk.rows + 1, np.int64), np.zeros(0, np.uint64))
     take = np.arange(off[-1]) + np.repeat(start - off[:-1], size + 1)
     buf = chunk.buf[np.minimum(take, len(chunk.buf) - 1)]
     buf[off[1:] - 1] = 32
     start = off[:-1]
-    return Units(buf, start, start + size, owner, tb.byte_prefix(buf).slices(start, start + size))
+    rows = np.concatenate([[0], np.cumsum(tb.counts(owner, chunk.rows))])
+    return Units(buf, start, start + size, rows, tb.byte_prefix(buf).slices(start, start + size))
 
 
 def byte_units(chunk: Chunk) -> Units:
-    at = np.arange(len(chunk.buf))
-    return Units(chunk.buf, at, at + 1, np.repeat(np.arange(chunk.rows), np.diff(chunk.off)), tb._TABLES[0][chunk.buf])
+    return Units(chunk.buf, None, None, chunk.off, tb.byte_terms(chunk.buf))
 
 
 def anchors(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +77,7 @@ def anchors(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
     if n < length:
         return none, none, np.zeros(0, np.uint64)
     h = tb.shingles(units.hashes, k)
-    starts = np.flatnonzero(units.owner[: n - length + 1] == units.owner[length - 1 :])
+    starts = units.starts(length)
     if not len(starts):
         return none, none, np.zeros(0, np.uint64)
     at = tb.minima(h, length - k + 1)[starts]
@@ -111,8 +129,8 @@ def contexts(chunk: Chunk, units: Units, length: int, k: int, known: np.ndarray,
     if not len(hit):
         return
     first, last, h = first[hit], last[hit], h[hit]
-    s, e = units.start[first], units.end[last + length - 1]
-    row = units.owner[first]
+    s, e = units.bounds(first, last + length - 1)
+    row = units.rows(first)
     key = tb.byte_prefix(units.buf).slices(s, e)
     ids = chunk.ids[row]
     order = np.lexsort((first, row, ids, key, h))

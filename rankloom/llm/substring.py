@@ -225,7 +225,7 @@ def flagged(docs: DataFrame, batches: int = 2, window: int = WINDOW, shingle: in
 
 def _kept(chunk: Chunk, replies: list[bytes], window: int) -> tuple[rp.Units, np.ndarray]:
     units = rp.word_units(chunk)
-    return units, rp.removed_units(replies, len(units.owner), window)
+    return units, rp.removed_units(replies, int(units.off[-1]), window)
 
 
 def digest(docs: DataFrame, batches: int = 2, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -244,7 +244,7 @@ def digest(docs: DataFrame, batches: int = 2, window: int = WINDOW, shingle: int
 def _texts(chunk: Chunk, replies: list[bytes], window: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Kept words of each row joined by one space, its words and those removed."""
     units, gone = _kept(chunk, replies, window)
-    n, lost = tb.counts(units.owner, chunk.rows), tb.counts(units.owner[gone], chunk.rows)
+    n, lost = np.diff(units.off), np.diff(np.concatenate([[0], np.cumsum(gone)])[units.off])
     keep = ~gone
     size = (units.end - units.start + 1)[keep]
     buf, off = ch.gather(units.buf, units.start[keep], size)

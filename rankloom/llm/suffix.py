@@ -24,6 +24,9 @@ from .chunks import Chunk
 
 LENGTH = 50
 SHINGLE = 20
+#: Text bytes to a chunk and to a bucket: numpy holds some 150 bytes for each byte of a chunk, some 300 of a bucket's contexts.
+CHUNK_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 #: Parts contexts; it occurs in no UTF-8 text.
 SEPARATOR = 0xFF
 
@@ -32,7 +35,11 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _words(t: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight bytes from each place on, as one big-endian number; ``t`` is padded by eight bytes at least."""
-    return t[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+    key = t[at].astype(np.uint64)
+    for k in range(1, 8):
+        key <<= np.uint64(8)
+        key |= t[at + k]
+    return key
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -155,8 +162,8 @@ def _decide(length: int):
 
 def flagged(docs: DataFrame, length: int = LENGTH, shingle: int = SHINGLE) -> DataFrame:
     """The chunks of ``docs`` with, as replies, the windows to remove."""
-    chunks, size = ch.store(docs, "suffix")
-    buckets = ch.bucket_count(size)
+    chunks, size = ch.store(docs, "suffix", CHUNK_BYTES)
+    buckets = ch.bucket_count(size, BUCKET_BYTES)
 
     def sample(chunk: Chunk, _: list[bytes]):
         yield from rp.anchor_packets(chunk.cid, rp.anchors(rp.byte_units(chunk), length, shingle)[2], buckets)

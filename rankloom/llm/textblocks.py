@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
+_BLOCK = 1 << 14
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLES = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
@@ -42,12 +43,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    h = h ^ (h >> _U(30))
-    h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(27)
-    h *= _U(0x94D049BB133111EB)
-    h ^= h >> _U(31)
-    return h
+    shape, h = h.shape, np.ascontiguousarray(h).ravel()
+    out = np.empty_like(h)
+    spare = np.empty(min(len(h), _BLOCK), _U)
+    for lo in range(0, len(h), _BLOCK):  # blocks that stay in a core's cache
+        x = out[lo : lo + _BLOCK]
+        t = spare[: len(x)]
+        np.right_shift(h[lo : lo + _BLOCK], _U(30), out=t)
+        np.bitwise_xor(h[lo : lo + _BLOCK], t, out=x)
+        x *= _U(0xBF58476D1CE4E5B9)
+        np.right_shift(x, _U(27), out=t)
+        x ^= t
+        x *= _U(0x94D049BB133111EB)
+        np.right_shift(x, _U(31), out=t)
+        x ^= t
+    return out.reshape(shape)
 
 
 def arrow_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,15 +76,21 @@ class Prefix:
 
     def __init__(self, terms: np.ndarray) -> None:
         up, self.down = _powers(len(terms) + 1)
-        self.sums = np.zeros(len(terms) + 1, _U)
-        np.cumsum(terms * up[:-1], out=self.sums[1:])
+        self.sums = np.empty(len(terms) + 1, _U)
+        self.sums[0] = 0
+        np.multiply(terms, up[:-1], out=self.sums[1:])
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(_U))
 
 
+def byte_terms(buf: np.ndarray, seed: int = 0) -> np.ndarray:
+    return _TABLES[seed][buf]
+
+
 def byte_prefix(buf: np.ndarray, seed: int = 0) -> Prefix:
-    return Prefix(_TABLES[seed][buf])
+    return Prefix(byte_terms(buf, seed))
 
 
 def words(buf: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,8 +126,11 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the ``k`` words from each word on, whatever texts they're in; len(h) - k + 1 values."""
     if len(h) < k:
         return np.zeros(0, _U)
-    start = np.arange(len(h) - k + 1)
-    return Prefix(h).slices(start, start + k)
+    prefix = Prefix(h)
+    d = prefix.sums[k:] - prefix.sums[:-k]
+    d *= prefix.down[: len(d)]
+    d += _U(k)
+    return mix(d)
 
 
 def minima(h: np.ndarray, w: int) -> np.ndarray:
@@ -121,14 +140,19 @@ def minima(h: np.ndarray, w: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(h) >= 1 << 32:
         raise ValueError("a block must have fewer than 2**32 places")
-    key = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=_U)
-    width = 1
-    while width * 2 <= w:
-        key = np.minimum(key[: len(key) - width], key[width:])
-        width *= 2
-    if rest := w - width:
-        key = np.minimum(key[: len(key) - rest], key[rest:])
-    return (key[:n] & _U(0xFFFFFFFF)).astype(np.int64)
+    out = np.empty(n, np.int64)
+    for lo in range(0, n, _BLOCK):
+        key = h[lo : lo + _BLOCK + w - 1] & _U(0xFFFFFFFF00000000)
+        key |= np.arange(lo, lo + len(key), dtype=_U)
+        width = 1
+        while width * 2 <= w:
+            key = np.minimum(key[: len(key) - width], key[width:])
+            width *= 2
+        if rest := w - width:
+            key = np.minimum(key[: len(key) - rest], key[rest:])
+        key &= _U(0xFFFFFFFF)
+        out[lo : lo + len(key)] = key
+    return out
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
