@@ -242,3 +242,26 @@ def digest(found: DataFrame) -> DataFrame:
     """The columns of the op4 query."""
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item window occurs; blocks of items filter one after another."""
+    spark = docs.sparkSession
+    arrow_rows(spark, 1000)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    schema = docs.schema
+    for block in _blocks(items, block_bytes):
+        index = Index(block, window, shingle)
+        index.order(document_counts(docs, index.known))
+        share = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, first, found = _occurrences(share.value, batch.column("text"))
+                keep = np.ones(batch.num_rows, bool)
+                if found:
+                    keep[np.searchsorted(first, [a for a, *_ in found], side="right") - 1] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
