@@ -30,7 +30,7 @@ ROWS = 1 << 17
 GRAMS = (3, 4, 5)
 DIM = 4
 #: Most labelled rows of either label that the model is fitted on.
-MAX_ROWS = 4000
+MAX_ROWS = 2000
 EPOCHS = 6
 FOLDS, HELD_OUT = 5, 0
 
@@ -160,9 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out
     spark = docs.sparkSession
     ids = spark.createDataFrame(list(chosen.items()) or [], "doc_id long, toxic int").select("doc_id")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    rows = features(sample).groupBy("doc_id").agg(F.min_by("rows", "rows").alias("rows"), F.min_by("weights", "rows").alias("weights")).orderBy("doc_id").collect()
-    bags = [(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in rows]
-    return fit(bags, np.array([chosen[r["doc_id"]] for r in rows], np.int64), share)
+    rows = features(sample).groupBy("doc_id").agg(F.min_by("rows", "rows").alias("rows"), F.min_by("weights", "rows").alias("weights"))
+    bags = sorted(((r["doc_id"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in rows.toLocalIterator()), key=lambda b: b[0])
+    return fit([b[1:] for b in bags], np.array([chosen[b[0]] for b in bags], np.int64), share)
 
 
 def fold():
@@ -183,3 +183,8 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, by a model trained on all labels."""
+    return score(docs, train(docs, labels, held_out=None), "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
