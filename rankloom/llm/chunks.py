@@ -39,11 +39,21 @@ class Chunk:
     def __init__(self, cid: int, data: bytes) -> None:
         self.cid = cid
         with pa.ipc.open_stream(data) as reader:
-            self.batch = reader.read_next_batch()
+            self._hold(reader.read_next_batch())
+
+    def _hold(self, batch: pa.RecordBatch) -> None:
+        self.batch = batch
         self.rows = self.batch.num_rows
         self.ids = self.batch.column("doc_id").fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
         self.buf, self.off = tb.arrow_block(self.batch.column("text"))
 
+    def some(self, rows: np.ndarray) -> Chunk:
+        """A chunk of these rows only."""
+        part = Chunk.__new__(Chunk)
+        part.cid = self.cid
+        part._hold(self.batch.take(pa.array(rows)))
+        return part
+
 
 def store(docs: DataFrame, name: str = "chunks", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """The chunk table of ``docs`` (doc_id, text and any other columns), and its text bytes."""

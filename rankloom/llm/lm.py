@@ -38,7 +38,7 @@ ROUNDS = 3
 #: One training document in so many trains the network; all are counted.
 ONE_IN = 8
 #: Documents walked side by side in scoring and in training.
-SCORE_ROWS, TRAIN_ROWS = 2048, 32
+SCORE_ROWS, TRAIN_ROWS = 2048, 64
 FOLDS, HELD_OUT = 5, 1
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -203,12 +203,12 @@ class Network:
                     target[: len(part), k], real[: len(part), k] = part, True
                 grads, h, last, n = self._window(target, real, h, last)
                 seen, t = seen + n, t + 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                for k, g in grads.items():
+                norm = np.sqrt(sum(float((g * g).sum()) for g, _ in grads.values()))
+                for k, (g, at_) in grads.items():  # of the input table, only the rows that were used move
                     g = g * min(1.0, 1.0 / (norm + 1e-8))
-                    m[k] += 0.1 * (g - m[k])
-                    s[k] += 0.01 * (g * g - s[k])
-                    self.p[k] -= (rate / (1 - 0.9**t) * m[k] / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                    m[k][at_] += 0.1 * (g - m[k][at_])
+                    s[k][at_] += 0.01 * (g * g - s[k][at_])
+                    self.p[k][at_] -= (rate / (1 - 0.9**t) * m[k][at_] / (np.sqrt(s[k][at_] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
         return seen
 
     def _window(self, target: np.ndarray, real: np.ndarray, h: np.ndarray, last: np.ndarray):
@@ -225,7 +225,10 @@ class Network:
         hs = np.concatenate([v[5] for v in saved])
         t, w = target.ravel(), real.ravel()
         total = max(1, int(w.sum()))
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        g = {k: np.zeros_like(v) for k, v in self.p.items() if k != "x"}
+        used, at_used = np.unique(np.stack(inputs), return_inverse=True)
+        at_used = at_used.reshape(steps, -1)
+        g["x"] = np.zeros((len(used), 3 * n), np.float32)
         k, place, at = t // self.width, t % self.width, np.arange(len(t))
         y = hs @ self.p["c"] + self.p["cb"]
         y = np.exp(y - y.max(axis=1, keepdims=True))
@@ -255,11 +258,11 @@ class Network:
             dr = dc * uc * r * (1 - r)
             gates = np.concatenate([dz, dr, dc], axis=1).astype(np.float32)
             du = np.concatenate([dz, dr, dc * r], axis=1).astype(np.float32)
-            np.add.at(g["x"], inputs[i], gates)
+            np.add.at(g["x"], at_used[i], gates)
             g["b"] += gates.sum(axis=0)
             g["u"] += before.T @ du
             back = d * z + du @ self.p["u"].T
-        return g, state, target[-1], int(w.sum())
+        return {k: (v, used if k == "x" else slice(None)) for k, v in g.items()}, state, target[-1], int(w.sum())
 
     def score(self, docs: list[np.ndarray], rows: int = SCORE_ROWS, window: int = WINDOW) -> np.ndarray:
         """Natural log-likelihood of each document (entries, ended by 0); states go on across windows."""
@@ -309,11 +312,12 @@ class Vocabulary:
         return np.where(self.sorted[at] == h, self.order[at] + 2, 1)
 
 
-def _documents(chunk: Chunk, vocabulary: Vocabulary) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _documents(chunk: Chunk, vocabulary: Vocabulary) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(entries of each row with the end, word hashes, their rows, words a row, entries of all words)."""
     h, owner, n = tokens(chunk)
     entries = vocabulary.entries(h)
     docs = [np.append(d, 0) for d in np.split(entries, np.cumsum(n)[:-1])] if chunk.rows else []
-    return docs, h, owner, n
+    return docs, h, owner, n, entries
 
 
 def train(chunks: DataFrame, counts: Counts, hidden: int = HIDDEN, rounds: int = ROUNDS, one_in: int = ONE_IN) -> Network:
@@ -334,7 +338,8 @@ def train(chunks: DataFrame, counts: Counts, hidden: int = HIDDEN, rounds: int =
                     chunk = Chunk(batch.column("cid")[i].as_py(), batch.column("data")[i].as_py())
                     train_rows = held_out_rows(chunk.batch.column("doc_id"))[1]
                     pick = [train_rows[r] and zlib.crc32(f"{d}:{chunk.cid}:{r}".encode()) % (one_in * rounds) // one_in == k and zlib.crc32(f"{d}:{r}".encode()) % one_in == 0 for r, d in enumerate(chunk.ids.tolist())]
-                    docs += [d for d, p in zip(_documents(chunk, vocabulary)[0], pick, strict=True) if p]
+                    if any(pick):
+                        docs += _documents(chunk.some(np.flatnonzero(pick)), vocabulary)[0]
                     if sum(map(len, docs)) > 400_000:  # a bound on what is held; training goes on with the next ones
                         seen += own.train(docs)
                         docs = []
@@ -389,7 +394,7 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, hidden: int = HIDDEN) -
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = Chunk(batch.column("cid")[i].as_py(), batch.column("data")[i].as_py())
-                texts, h, owner, n = _documents(chunk, vocab)
+                texts, h, owner, n, entries = _documents(chunk, vocab)
                 pairs = [ch.unpack(b) for b in batch.column("replies")[i].as_py() or []]
                 words = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, _U)
                 count_of = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
@@ -398,7 +403,7 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, hidden: int = HIDDEN) -
                 rows = chunk.rows
                 base = np.bincount(owner, weights=base_of(c), minlength=rows) + base_of(counts.ends)
                 known = np.bincount(owner, weights=c > 0, minlength=rows).astype(np.int64) + (counts.ends > 0)
-                outside = vocab.entries(h) == 1
+                outside = entries == 1
                 inner = np.where(outside, np.log10((c + 0.5) / (n_rest + 0.5 * (v_rest + 1))), 0.0)
                 held.append((texts, chunk.batch.column("doc_id"), n + 1, known, np.bincount(owner, weights=inner, minlength=rows), base))
                 if sum(int(h[2].sum()) for h in held) > 3_000_000 or sum(len(h[0]) for h in held) >= 4 * SCORE_ROWS:
