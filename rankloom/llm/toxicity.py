@@ -30,8 +30,10 @@ ROWS = 1 << 17
 GRAMS = (3, 4, 5)
 DIM = 4
 #: Most labelled rows of either label that the model is fitted on.
-MAX_ROWS = 2000
-EPOCHS = 6
+MAX_ROWS = 3000
+EPOCHS = 12
+#: Share of a bag's rows left out at each step of training.
+DROPPED = 0.4
 FOLDS, HELD_OUT = 5, 0
 
 FEATURES = "doc_id long, rows binary, weights binary"
@@ -124,6 +126,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: fl
                 continue
             rows = np.concatenate([bags[i][0] for i in pick])
             weights = np.concatenate([bags[i][1] for i in pick]) * gain
+            weights *= (rng.random(len(weights)) >= DROPPED).astype(np.float32) / (1 - DROPPED)  # no n-gram may carry a word alone
             starts = np.concatenate([[0], np.cumsum(sizes[pick])[:-1]])
             x = np.add.reduceat(emb[rows] * weights[:, None], starts, axis=0)
             z = x @ soft + bias

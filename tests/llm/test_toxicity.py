@@ -14,14 +14,20 @@ def test_held_out_accuracy_with_unseen_misspellings(spark):
         words = [rng.choice(plain) + str(rng.randint(0, 40)) for _ in range(rng.randint(20, 60))]
         bad = i % 3 == 0
         if bad:
-            for _ in range(3):  # an ending drawn for each fold: held-out rows have words no training row has
-                words[rng.randrange(len(words))] = rng.choice(stems) + (rng.choice(ends) if i < 300 else "zz" + str(i))
+            for _ in range(3):
+                word = rng.choice(stems) + rng.choice(ends)
+                if i >= 300:  # misspelt as in no training row: one letter doubled
+                    k = rng.randrange(len(word))
+                    word = word[:k] + word[k] + word[k:]
+                words[rng.randrange(len(words))] = word
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad) if i < 300 else None))
     docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(docs, known, held_out=None)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
-    late = [i for i in range(300, 400)]
+    late = list(range(300, 400))
+    bad, good = ([got[i] for i in late if (i % 3 == 0) == toxic] for toxic in (True, False))
+    assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good)) >= 0.97
     assert sum((got[i] >= 0.5) == (i % 3 == 0) for i in late) / len(late) >= 0.9
     assert all(0 <= s <= 1 for s in got.values())
     kept = toxicity.clean(docs, known)
