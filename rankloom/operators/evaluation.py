@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import gate as g, metrics, rank
 
 # fixed values
-GIBBERISH = ("asdkjfh qweoiu zxmcnv", "blorptag fnord wibble", "xyzzy plugh qux", "zzzzzz", "qqqq wwww eeee rrrr", "lorem ipsum dolor sit amet consectetur")
+GIBBERISH = ("asdfqwer zxcv", "blorp glarn fizzbuzzle", "qwertyuiop", "zzxxcc vvbb nnmm", "lorem ipsum dolor sit", "xyzzy plugh frobnicate")
+MULTILINGUAL = ("Caminar 8000 pasos al día", "Reservar cita con el dentista", "Купить продукты в магазине", "Прочитать главу книги")
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -55,3 +56,9 @@ def match(scorer: Scorer, corpus: DataFrame, queries: DataFrame, gate: g.Gate |
     """A decision for every query."""
     scores = scorer(corpus, queries)
     return (gate or g.Gate()).decide(queries, rank.ranked(scores, 1), rank.confidence(scores, corpus.count()))
+
+
+def smoke(scorer: Scorer, corpus: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best matches of a few queries in other languages, to look at."""
+    asked = corpus.sparkSession.createDataFrame(list(enumerate(MULTILINGUAL)), "query_id long, text string")
+    return rank.ranked(scorer(corpus, asked), k)
