@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import chunks as ch, textblocks as tb
 from .chunks import Chunk
@@ -40,7 +40,7 @@ _K1, _K2, _K3 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B
 
 MEMBERS = "cid long, row int, doc_id long, n long, node long"
 MEETINGS = "sig long, center long, node long"
-SETS = "node long, n long, grams binary"
+SETS = "node long, n long, sketch binary, grams binary"
 
 
 def band_tops(largest: int) -> list[int]:
@@ -132,11 +132,45 @@ def _meet(bucket: int, cids: list[int], blobs: list[bytes]) -> Iterator[tuple[in
     yield from zip(sig[tied].view(np.int64).tolist(), center[tied].view(np.int64).tolist(), node[tied].view(np.int64).tolist(), strict=True)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """How many n-grams fall in each of about as many equal ranges of hashes, 255 at most."""
+    bits = max(4, int(len(grams)).bit_length())
+    return np.minimum(np.bincount((grams >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the elements in which two sets differ, from their sketches."""
+    x, y = (v.astype(np.int64) for v in (x, y))
+    if max(x.max(initial=0), y.max(initial=0)) == 255:
+        return 0
+    while len(x) != len(y):
+        x, y = (x.reshape(-1, 2).sum(axis=1), y) if len(x) > len(y) else (x, y.reshape(-1, 2).sum(axis=1))
+    return int(np.abs(x - y).sum())
+
+
+def _possible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow to link: a small part of what full sets weigh decides about most."""
+    a, b = (held.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b"))
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                (100 + percent) * least_difference(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= (100 - percent) * n
+                for n, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)
+            ]
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    met = pairs.join(b.drop("sb"), "b").join(a.drop("sa"), "a").where(near).select("a", "b", (F.col("na") + F.col("nb")).alias("n"))
+    met = met.join(b.select("b", "sb"), "b").join(a.select("a", "sa"), "a").select("a", "b", "n", "sa", "sb")
+    return table(met.mapInArrow(run, "a long, b long"), "possible")
+
+
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    b = held.select(F.col("node").alias("b"), F.col("grams").alias("gb"), F.col("n").alias("nb"))
-    a = held.select(F.col("node").alias("a"), F.col("grams").alias("ga"), F.col("n").alias("na"))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = _possible(pairs, held, percent)
+    a, b = (held.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +186,7 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    met = pairs.join(b, "b").join(a, "a").where(near).select("a", "b", "ga", "gb")
+    met = pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb")
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -216,7 +250,8 @@ def _sets_of(chunks: DataFrame, members: DataFrame, nodes: DataFrame, n: int) ->
     def give(chunk: Chunk, replies: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         elements, off, whole = sets(chunk, n)
         for row in (int(r) for blob in replies for r in blob.split(b",")):
-            yield int(whole.view(np.int64)[row]), int(off[row + 1] - off[row]), elements[off[row] : off[row + 1]].tobytes()
+            grams = elements[off[row] : off[row + 1]]
+            yield int(whole.view(np.int64)[row]), len(grams), sketch(grams).tobytes(), grams.tobytes()
 
     return table(ch.over_chunks(ch.with_replies(chunks, asked, "inner"), give, SETS), "sets")
 
@@ -253,70 +288,31 @@ def _alone(held: DataFrame, buckets: int) -> DataFrame:
     return held.select("node", "n").join(counted, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
-def _differences(edges: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """For (center, node): the elements in which both differ, how many (d), and how many (least) of them a partner shares.
-
-    Let d be the differences of x and y to a common centre c. If x and y link, d_x + d_y - 2 * common is at most
-    r * (n_x + n_y), r = (100 - percent) / (100 + percent). As one of any two nodes still in different components, say y,
-    doesn't link with c, d_y > r * (n_y + n_c). So if x links with c, common > (d_x - r * (n_x - n_c)) / 2; if not, then
-    common >= (d_x + 1 - r * (n_x + n_c + 1)) / 2, whatever y is.
-    """
-    c = held.select(F.col("node").alias("center"), F.col("grams").alias("gc"))
-    met = edges.join(held.select("node", "grams"), "node").join(c, "center").select("center", "node", "label", "grams", "gc")
-    up, down = 100 + percent, 100 - percent
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least, elements = [], []
-            for gx, gc in zip(batch.column(3), batch.column(4), strict=True):
-                x, c = np.frombuffer(gx.as_buffer(), _U), np.frombuffer(gc.as_buffer(), _U)
-                both = np.sort(np.concatenate([x, c]), kind="stable")
-                twice = both[1:] == both[:-1]
-                common = int(twice.sum())
-                single = np.ones(len(both), bool)
-                single[1:][twice] = False
-                single[:-1][twice] = False
-                d = both[single]
-                if 100 * common >= percent * (len(x) + len(c) - common):
-                    least.append((up * len(d) - down * (len(x) - len(c))) // (2 * up) + 1)
-                else:
-                    least.append(max(1, -(-(up * (len(d) + 1) - down * (len(x) + len(c) + 1)) // (2 * up))))
-                elements.append(d.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(least, pa.int64()), pa.array(elements, pa.list_(pa.int64()))], names=["center", "node", "label", "least", "elements"])
-
-    return met.mapInArrow(run, "center long, node long, label long, least long, elements array<long>")
+def _open(labelled: DataFrame) -> DataFrame:
+    """The rows of signatures whose nodes are in different components."""
+    spread = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return labelled.join(spread.where("lo <> hi").select("sig"), "sig", "left_semi")
 
 
 def _rest(met: DataFrame, labels: DataFrame, held: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs of one centre's star, without the centre, that are still in different components and could link.
+    """Pairs of one signature, without its centre, that are still in different components and could link.
 
-    First, what a node shares with another of these is at most its n-grams that aren't its alone, so nodes with too
-    many of their own are done. Then a prefix-filtered join on differences to the centre: nodes that link must share
-    many of these, so each brings only its rarest ones, as many as it takes to meet any partner.
+    What a node shares with another of these is at most its n-grams that aren't its alone: nodes with too many of their
+    own are done, and a pair goes on only if both have enough of the others for the sizes of the two. A pair comes
+    from the smallest signature of those it shares, so it comes once.
     """
     of = labels.select("node", "label")
-    labelled = met.join(of, "node", "left").select("sig", "center", "node", F.coalesce("label", "node").alias("label"))
-    spread = labelled.groupBy("sig", "center").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"))
-    open_ = spread.where("lo <> hi and c > 1").select("sig")
-    left = table(labelled.join(open_, "sig", "left_semi").select("center", "node", "label").distinct(), "open")
+    labelled = met.join(of, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    left = table(_open(labelled), "open")
     share = _alone(held.join(left.select("node").distinct(), "node", "left_semi"), buckets)
     can = table(share.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent).select("node", "n", (F.col("n") - F.col("alone")).alias("most")), "can")
-    left = left.join(can.select("node"), "node", "left_semi")
-    some = left.groupBy("center").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("center")
-    differing = table(_differences(left.join(some, "center", "left_semi"), held, percent), "differences")
-    elements = differing.select("center", "node", "label", (F.size("elements") - F.col("least") + 1).alias("brings"), F.explode("elements").alias("element"))
-    seen = elements.groupBy("center", "element").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
-    # elements seen once meet nobody but take their places in the prefix: they are the rarest
-    met_again = elements.join(seen, ["center", "element"])
-    once = differing.select("center", "node", F.size("elements").alias("d")).join(
-        met_again.groupBy("center", "node").agg(F.count(F.lit(1)).alias("again")), ["center", "node"]).select("center", "node", (F.col("d") - F.col("again")).alias("once"))
-    rank = F.row_number().over(Window.partitionBy("center", "node").orderBy("seen", "element"))
-    prefix = met_again.join(once, ["center", "node"]).withColumn("place", rank + F.col("once")).where(F.col("place") <= F.col("brings")).select("center", "element", "node", "label")
-    prefix = table(prefix.join(can, "node"), "prefixes")
-    right = prefix.select("center", "element", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "n", "most")])
+    left = table(_open(left.join(can, "node")), "open")  # without the others, most signatures are settled
+    left = left.join(left.groupBy("node").agg(F.collect_list("sig").alias("sigs")), "node")  # a node has as many as its size allows
+    right = left.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "most", "sigs")])
     enough = F.least("most", "most_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
-    pairs = prefix.join(right, ["center", "element"]).where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & enough)
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+    once = F.col("sig") == F.array_min(F.array_intersect("sigs", "sigs_b"))
+    pairs = left.join(right, "sig").where((F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")) & enough & once)
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
 def digest(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
