@@ -7,8 +7,8 @@ Model: a gated recurrent unit over the vocabulary, with the output softmax facto
 root of the vocabulary; a word outside it is the shared entry's probability times its smoothed share among such words.
 It is trained in numpy by truncated backpropagation: batches of documents are walked in windows, the state is carried
 from window to window and gradients stop at window borders. Training is spread: in each round every task improves the
-common parameters on its own share of training documents (a fixed fraction of the corpus, so what is learnt from grows
-with it), and the results are averaged, weighted by tokens, first on the executors and then on the driver.
+common parameters on its own training documents of that round (each training document is in exactly one round), and the
+results are averaged, weighted by tokens, first on the executors and then on the driver.
 
 Scoring walks many documents side by side, the state carried over window borders, to the end of each document.
 
@@ -35,8 +35,6 @@ VOCABULARY = 4096
 HIDDEN = 24
 WINDOW = 32
 ROUNDS = 3
-#: One training document in so many trains the network; all are counted.
-ONE_IN = 8
 #: Documents walked side by side in scoring and in training.
 SCORE_ROWS, TRAIN_ROWS = 2048, 64
 FOLDS, HELD_OUT = 5, 1
@@ -320,7 +318,7 @@ def _documents(chunk: Chunk, vocabulary: Vocabulary) -> tuple[list[np.ndarray],
     return docs, h, owner, n, entries
 
 
-def train(chunks: DataFrame, counts: Counts, hidden: int = HIDDEN, rounds: int = ROUNDS, one_in: int = ONE_IN) -> Network:
+def train(chunks: DataFrame, counts: Counts, hidden: int = HIDDEN, rounds: int = ROUNDS) -> Network:
     entries = len(counts.words) + 2
     rest = max(0, counts.tokens - counts.ends - int(counts.counts.sum()))
     net = Network(entries, hidden)
@@ -337,7 +335,7 @@ def train(chunks: DataFrame, counts: Counts, hidden: int = HIDDEN, rounds: int =
                 for i in range(batch.num_rows):
                     chunk = Chunk(batch.column("cid")[i].as_py(), batch.column("data")[i].as_py())
                     train_rows = held_out_rows(chunk.batch.column("doc_id"))[1]
-                    pick = [train_rows[r] and zlib.crc32(f"{d}:{chunk.cid}:{r}".encode()) % (one_in * rounds) // one_in == k and zlib.crc32(f"{d}:{r}".encode()) % one_in == 0 for r, d in enumerate(chunk.ids.tolist())]
+                    pick = [train_rows[r] and zlib.crc32(f"{d}:{chunk.cid}:{r}".encode()) % rounds == k for r, d in enumerate(chunk.ids.tolist())]
                     if any(pick):
                         docs += _documents(chunk.some(np.flatnonzero(pick)), vocabulary)[0]
                     if sum(map(len, docs)) > 400_000:  # a bound on what is held; training goes on with the next ones

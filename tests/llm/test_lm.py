@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from rankloom.llm import lm
+from rankloom.llm import chunks as ch, lm
 
 from .samples import documents, frame
 
@@ -70,3 +70,14 @@ def test_training_learns_an_order_and_windows_carry_state():
     assert net.score(docs[:1])[0] > 0.5 * before
     long = [np.array([2, 3, 4, 5] * 100 + [0]), np.array([0])]
     assert np.allclose(net.score(long, window=7), net.score(long, window=500), atol=1e-2)
+
+
+def test_every_training_document_trains_the_network(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    ids = [i for i in range(80) if fold(i) != 1]
+    chunks, size = ch.store(frame(spark, [(i, " ".join([f"w{i}"] * 20)) for i in range(80)]), "lm")
+    counts, _ = lm.count(chunks, ch.bucket_count(size), 128)
+    net = lm.train(chunks, counts, hidden=8)
+    assert len(counts.words) == len(ids)
+    moved = np.abs(net.p["x"] - lm.Network(len(ids) + 2, 8).p["x"]).max(axis=1)  # of the input table, only rows of words learnt from move
+    assert (moved[2:] > 1e-4).all()
