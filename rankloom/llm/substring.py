@@ -18,6 +18,7 @@ adds an empty run and gives an empty result; other columns are carried along by
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -138,7 +139,11 @@ def _verify(window: int):
 
 @dataclass
 class Index:
-    """Runs as (level, table); chunk stores of the batches so far. ``buckets`` is fixed by the first batch's size."""
+    """Runs as (level, table); chunk stores of the batches so far. ``buckets`` is fixed by the first batch's size.
+
+    Chunk ids are a partition and a number in it; in the runs, partitions are counted on from batch to batch, so that
+    each of any number of batches has a range of ids of its own. ``parts``: partitions of each batch, 0 of an empty one.
+    """
 
     spark: SparkSession
     window: int = WINDOW
@@ -147,15 +152,20 @@ class Index:
     buckets: int = 0
     runs: list[tuple[int, DataFrame]] = field(default_factory=list)
     stores: list[DataFrame] = field(default_factory=list)
+    parts: list[int] = field(default_factory=list)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds a batch; its chunks with, as replies, the windows to remove."""
         chunks, size = ch.store(docs, "substring")
         self.buckets = self.buckets or ch.bucket_count(4 * size)
         window, shingle, buckets, number = self.window, self.shingle, self.buckets, len(self.stores)
+        last = chunks.agg(F.max("cid")).first()[0]
+        parts = [*self.parts, 0 if last is None else (last >> 32) + 1]
+        bounds = [n << 32 for n in itertools.accumulate(parts, initial=0)]
+        own_low = bounds[number]
 
         def sample(chunk: Chunk, _: list[bytes]):
-            yield from rp.anchor_packets(_cid(chunk, number), rp.anchors(rp.word_units(chunk), window, shingle)[2], buckets)
+            yield from rp.anchor_packets(chunk.cid + own_low, rp.anchors(rp.word_units(chunk), window, shingle)[2], buckets)
 
         new = table(ch.over_buckets(ch.over_chunks(chunks, sample, ch.PACKETS), _to_run, RUN), "run")
         mine = new.select("bucket", F.lit(1).cast("long").alias("cid"), "blob")
@@ -164,18 +174,22 @@ class Index:
         again = table(ch.over_buckets(mine, _merge_join, ch.REPLIES), "recurring")
         met = None
         for b, held in enumerate([*self.stores, chunks]):
+            low, high = bounds[b : b + 2]
+            if low == high and b < number:
+                continue
 
-            def send(chunk: Chunk, replies: list[bytes], b: int = b):
+            def send(chunk: Chunk, replies: list[bytes], b: int = b, low: int = low):
                 known = np.unique(np.frombuffer(b"".join(replies), np.uint64))
                 for bucket, _, blob in rp.contexts(chunk, rp.word_units(chunk), window, shingle, known, buckets, b):
-                    yield bucket, _cid(chunk, b), blob
+                    yield bucket, chunk.cid + low, blob
 
-            own = again.where(F.col("cid") % _BATCHES == b).select(((F.col("cid") - b) / _BATCHES).cast("long").alias("cid"), "blob")
+            own = again.where((F.col("cid") >= low) & (F.col("cid") < high)).select((F.col("cid") - low).alias("cid"), "blob")
             part = ch.over_chunks(ch.with_replies(held, own, "inner"), send, ch.PACKETS)
             met = part if met is None else met.unionByName(part)
         decided = ch.over_buckets(met, _verify(window), ch.REPLIES)
-        mine_only = decided.where(F.col("cid") % _BATCHES == number).select(((F.col("cid") - number) / _BATCHES).cast("long").alias("cid"), "blob")
+        mine_only = decided.where(F.col("cid") >= own_low).select((F.col("cid") - own_low).alias("cid"), "blob")
         self.stores.append(chunks)
+        self.parts = parts
         self.runs.append((0, new))
         self._settle()
         return ch.with_replies(chunks, mine_only)
@@ -191,14 +205,6 @@ class Index:
             level += 1
 
 
-#: Chunk ids of an index hold the batch's number too; an index takes so many batches.
-_BATCHES = 1 << 10
-
-
-def _cid(chunk: Chunk, number: int) -> int:
-    return chunk.cid * _BATCHES + number
-
-
 def in_batches(docs: DataFrame, batches: int) -> Iterator[DataFrame]:
     """``docs`` by ascending doc_id in ``batches`` parts of about equal size; null ids come last."""
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []

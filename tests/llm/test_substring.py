@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from rankloom.llm import substring
+from rankloom.llm import chunks as ch, substring
 
 from .samples import documents, frame
 
@@ -48,6 +48,14 @@ def test_index_compacts_and_history_counts_as_earlier(spark):
     assert sorted(level for level, _ in index.runs) == [2]
 
 
+def test_batches_beyond_1024_meet_history(spark):
+    index = substring.Index(spark)
+    index.stores, index.parts = [ch.store(frame(spark, []), "substring")[0]] * 1023, [0] * 1023
+    text = " ".join(f"v{i}" for i in range(40))
+    lost = [bool(index.add(frame(spark, [(i, text)])).select("replies").first()["replies"]) for i in (1, 2)]
+    assert lost == [False, True]
+
+
 def test_clean_keeps_columns_and_untouched_texts(spark):
     rows = [(1, "a  b\n" + " ".join(f"x{i}" for i in range(25))), (2, "head " + " ".join(f"x{i}" for i in range(25)) + "  tail"), (3, None), (4, "")]
     got = {r.doc_id: r for r in substring.clean(frame(spark, rows)).collect()}
