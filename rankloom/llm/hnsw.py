@@ -181,7 +181,11 @@ def _search_block(graphs: DataFrame, ids: np.ndarray, block: np.ndarray, k: int,
                     nodes = graph.search((unit / np.sqrt((unit * unit).sum())).astype(np.float32), ef)
                     sims = cosine(q, x[nodes])
                     best: dict[int, float] = {}
-                    for s, v in sorted(zip(sims.tolist(), nodes, strict=True), reverse=True)[: 2 * k + 2]:
+                    least = float("inf")
+                    for s, v in sorted(zip(sims.tolist(), nodes, strict=True), reverse=True):
+                        if len(best) >= k and s < least:  # all nodes that tie with the last one needed have their say
+                            break
+                        least = s
                         for i in members[v].tolist():
                             if i != query_id:
                                 best.setdefault(i, s)

@@ -39,3 +39,9 @@ def test_awkward_vectors(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in run(spark, rows))
     assert got == [(0, 1, 10, 1.0), (0, 2, 2, 0.0), (10, 1, 0, 1.0), (10, 2, 2, 0.0)]
     assert run(spark, []) == []
+
+
+def test_ties_of_scaled_copies_go_to_smaller_ids(spark):
+    rows = [(i, [3.0 * 2.0**i, 2.0**i], 1, 1) for i in range(40)]
+    got = run(spark, rows)
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [1, 2, 3, 4, 5]
