@@ -32,3 +32,10 @@ def test_readable_target(spark, target, want):
 
 def test_tokens(spark):
     assert spark.createDataFrame([("Día 3, ok_x",), (None,)], "t string").select(tx.tokens(F.col("t")).alias("r")).collect()[0]["r"] == ["d", "a", "3", "ok", "x"]
+
+
+def test_emphasis_is_stripped_to_any_depth(spark):
+    marks = "*/" * 6  # each pass takes off the outermost pair
+    deep = " ".join([*(f"{m}a" for m in marks), *(f"a{m}" for m in reversed(marks))])
+    got = spark.createDataFrame([(deep,), ("*a /b/*",), (None,)], "t string").select(tx.normalized(F.col("t")).alias("r")).collect()
+    assert [r["r"] for r in got] == [" ".join("a" * 24), "a b", None]
