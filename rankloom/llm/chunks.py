@@ -95,9 +95,10 @@ def store(docs: DataFrame, name: str = "chunks", chunk_bytes: int = CHUNK_BYTES)
 
     made = typed.mapInArrow(run, CHUNKS)
     table = f"rankloom_{name}_{uuid.uuid4().hex}".replace("-", "_")
-    buckets = partitions(spark)
-    made.write.format("parquet").bucketBy(buckets, "cid").option("path", scratch_path(spark, name)).option("compression", "uncompressed").saveAsTable(table)
+    buckets, path = partitions(spark), scratch_path(spark, name)
+    made.write.format("parquet").bucketBy(buckets, "cid").option("path", path).option("compression", "uncompressed").saveAsTable(table)
     chunks = spark.table(table)
+    chunks.scratch, chunks.scratch_table = path, table
     return chunks, chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 

@@ -20,7 +20,8 @@ id there is, null if none; an empty table gives an empty result; other columns r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import chunks as ch, textblocks as tb
 from .chunks import Chunk
-from .shared import table
+from .shared import remove, table
 
 NGRAM = 4
 PERCENT = 85
@@ -40,7 +41,10 @@ _K1, _K2, _K3 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B
 
 MEMBERS = "cid long, row int, doc_id long, n long, node long"
 MEETINGS = "sig long, center long, node long"
-SETS = "node long, n long, sketch binary, grams binary"
+OUTLINES = "node long, n long, sketch binary"
+GRAMS = "node long, grams binary"
+#: Nodes, and n-grams of their sets, in a block; a task compares two blocks at a time.
+BLOCK, BLOCK_GRAMS = 512, 1 << 19
 
 
 def band_tops(largest: int) -> list[int]:
@@ -164,21 +168,24 @@ def _possible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
     met = pairs.join(b.drop("sb"), "b").join(a.drop("sa"), "a").where(near).select("a", "b", (F.col("na") + F.col("nb")).alias("n"))
     met = met.join(b.select("b", "sb"), "b").join(a.select("a", "sa"), "a").select("a", "b", "n", "sa", "sb")
-    return table(met.mapInArrow(run, "a long, b long"), "possible")
+    return met.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    pairs = _possible(pairs, held, percent)
+def _linked(pairs: DataFrame, holders: Holders, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. Sketches are fetched of all their nodes, whole sets only of those that these leave."""
+    outlines = holders.fetch(_nodes(pairs), lambda node, grams: (node, len(grams), sketch(grams).tobytes()), OUTLINES)
+    near = table(_possible(pairs, outlines, percent), "possible")
+    remove(outlines)
+    held = holders.fetch(_nodes(near), lambda node, grams: (node, grams.tobytes()), GRAMS)
     a, b = (held.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
         for batch in batches:
             linked = []
-            last, x = None, None
             for p, ga, gb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if p != last:
-                    last, x = p, np.frombuffer(ga.as_buffer(), _U)
+                    last, x = p, np.frombuffer(ga.as_py(), _U)
                 y = np.frombuffer(gb.as_buffer(), _U)
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -186,8 +193,45 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    met = pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb")
-    return met.mapInArrow(run, "a long, b long")
+    met = near.join(b, "b").join(a, "a").select("a", "b", "ga", "gb")
+    links = table(met.mapInArrow(run, "a long, b long"), "verified")
+    remove(near, held)
+    return links
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+@dataclass
+class Holders:
+    """Where the sets are: the chunks, and one row of them for each node."""
+
+    chunks: DataFrame
+    members: DataFrame
+    n: int
+
+    def ask(self, nodes: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
+        """``fn`` of (chunk id, nodes, their sets one after another, offsets) for each chunk that holds some of ``nodes``."""
+        at = self.members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("cid", "row")).alias("at"))
+        asked = at.groupBy("at.cid").agg(F.collect_list("at.row").alias("rows")).select("cid", F.array_join("rows", ",").cast("binary").alias("blob"))
+        n = self.n
+
+        def give(chunk: Chunk, replies: list[bytes]) -> Iterator[tuple]:
+            rows = np.array(sorted(int(r) for blob in replies for r in blob.split(b",")), np.int64)
+            elements, off, whole = sets(chunk.some(rows), n)
+            yield from fn(chunk.cid, whole.view(np.int64), elements, off)
+
+        return ch.over_chunks(ch.with_replies(self.chunks, asked, "inner"), give, schema)
+
+    def fetch(self, nodes: DataFrame, fn: Callable[[int, np.ndarray], tuple], schema: str) -> DataFrame:
+        """A written table of ``fn`` of each node and its set."""
+
+        def each(_: int, node: np.ndarray, elements: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
+            for k, name in enumerate(node.tolist()):
+                yield fn(name, elements[off[k] : off[k + 1]])
+
+        return table(self.ask(nodes, each, schema), "sets")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,62 +274,62 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tuple[DataF
 
     members = table(ch.over_chunks(chunks, describe, MEMBERS), "members")
     met = table(ch.over_buckets(ch.over_chunks(chunks, sign, ch.PACKETS), _meet, MEETINGS), "meetings")
-    pairs = met.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    held = _sets_of(chunks, members, met.select(F.explode(F.array("center", "node")).alias("node")).distinct(), n)
-    links = table(_verified(pairs, held, percent), "verified")
+    remove()
+    holders = Holders(chunks, members, n)
+    stars = table(met.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = _linked(stars, holders, percent)
     labels = components(links)
-    rest = table(_rest(met, labels, held, percent, buckets), "rest")
-    if rest.limit(1).count():
-        more = table(_verified(rest, held, percent), "verified")
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-    return chunks, members.join(labels, "node", "left").select("cid", "row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
-
+    more = _rest(met, labels, holders, percent, buckets)
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
+    found = table(members.join(labels, "node", "left").select("cid", "row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "components")
+    remove(members, met, stars, more)
+    return chunks, found
 
-def _sets_of(chunks: DataFrame, members: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The n-grams of some nodes, made again from one row that has each."""
-    at = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("cid", "row")).alias("at"))
-    asked = at.groupBy("at.cid").agg(F.collect_list("at.row").alias("rows")).select("cid", F.array_join("rows", ",").cast("binary").alias("blob"))
 
-    def give(chunk: Chunk, replies: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        elements, off, whole = sets(chunk, n)
-        for row in (int(r) for blob in replies for r in blob.split(b",")):
-            grams = elements[off[row] : off[row + 1]]
-            yield int(whole.view(np.int64)[row]), len(grams), sketch(grams).tobytes(), grams.tobytes()
-
-    return table(ch.over_chunks(ch.with_replies(chunks, asked, "inner"), give, SETS), "sets")
+def _alone(nodes: DataFrame, holders: Holders, buckets: int) -> DataFrame:
+    """(node, alone): how many n-grams of each of ``nodes`` no other of them has; a collision of the hashes that tell makes it less.
 
+    An n-gram that several nodes of a chunk have is sent once, as nobody's.
+    """
 
-def _alone(held: DataFrame, buckets: int) -> DataFrame:
-    """(node, alone): how many of each node's n-grams no other of these nodes has."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            parts = [np.frombuffer(g.as_buffer(), _U) for g in batch.column(1)]
-            grams = np.concatenate(parts) if parts else np.zeros(0, _U)
-            node = np.repeat(nodes, [len(g) for g in parts])
-            order = np.argsort(grams, kind="stable")
-            grams, node = grams[order], node[order]
-            # one that several nodes of this batch have is sent once, as nobody's
-            first = np.concatenate([[True], grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, bool)
-            lone = first & np.append(first[1:], True)[: len(first)]
-            grams, node = grams[first], np.where(lone, node, 0)[first]
-            bounds = ch.bucket_bounds(grams, buckets)
-            rows = [(b, 0, ch.pack(grams[bounds[b] : bounds[b + 1]], node[bounds[b] : bounds[b + 1]], lone[first][bounds[b] : bounds[b + 1]])) for b in np.flatnonzero(np.diff(bounds)).tolist()]
-            yield ch._rows(ch.PACKETS, rows)
-
-    def count(bucket: int, _: list[int], blobs: list[bytes]) -> Iterator[tuple[int, int]]:
-        grams, node, lone = (np.concatenate(a) for a in zip(*(ch.unpack(b) for b in blobs), strict=True))
+    def send(cid: int, node: np.ndarray, elements: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        own = np.repeat(np.arange(len(node), dtype=np.uint16), np.diff(off))
+        order = np.argsort(elements, kind="stable")
+        grams, own = elements[order], own[order]
+        first = np.concatenate([[True], grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, bool)
+        lone = first & np.append(first[1:], True)[: len(first)]
+        grams, own = grams[first], np.where(lone, own, len(node))[first].astype(np.uint16)
+        bounds = ch.bucket_bounds(grams, buckets)
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            part = slice(bounds[b], bounds[b + 1])
+            used, at = np.unique(own[part], return_inverse=True)
+            # the bucket stands for the upper bits
+            low = (grams[part] * _U(buckets) >> _U(32) if buckets < 1 << 31 else grams[part]).astype(np.uint32)
+            yield b, cid, ch.pack(low, at.astype(np.uint16), np.append(node, 0)[used], used < len(node))
+
+    def count(bucket: int, cids: list[int], blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        parts = [ch.unpack(b) for b in blobs]
+        grams = np.concatenate([p[0] for p in parts])
+        node, lone = (np.concatenate([p[k][p[1]] for p in parts]) for k in (2, 3))
+        own = np.repeat(np.arange(len(cids)), [len(p[0]) for p in parts])
         order = np.argsort(grams, kind="stable")
-        grams, node, lone = grams[order], node[order], lone[order]
+        grams, node, lone, own = grams[order], node[order], lone[order], own[order]
         first = np.concatenate([[True], grams[1:] != grams[:-1]])
-        only = first & np.append(first[1:], True) & lone
-        yield from zip(*(a.tolist() for a in np.unique(node[only], return_counts=True)), strict=True)
+        only = np.flatnonzero(first & np.append(first[1:], True) & lone)
+        for c in np.unique(own[only]).tolist():
+            yield cids[c], ch.pack(*np.unique(node[only[own[only] == c]], return_counts=True))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for replies in batch.column(0).to_pylist():
+                parts = [ch.unpack(b) for b in replies]
+                node, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                total = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], names=["node", "alone"])
 
-    sent = held.select("node", "grams").mapInArrow(send, ch.PACKETS)
-    counted = ch.over_buckets(sent, count, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
-    return held.select("node", "n").join(counted, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    counted = ch.over_buckets(holders.ask(nodes, send, ch.PACKETS), count, ch.REPLIES)
+    return counted.groupBy("cid").agg(F.collect_list("blob").alias("replies")).select("replies").mapInArrow(add, "node long, alone long")
 
 
 def _open(labelled: DataFrame) -> DataFrame:
@@ -294,31 +338,113 @@ def _open(labelled: DataFrame) -> DataFrame:
     return labelled.join(spread.where("lo <> hi").select("sig"), "sig", "left_semi")
 
 
-def _rest(met: DataFrame, labels: DataFrame, held: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs of one signature, without its centre, that are still in different components and could link.
+def _rest(met: DataFrame, labels: DataFrame, holders: Holders, percent: int, buckets: int) -> DataFrame:
+    """Links, as many as it takes to connect what they connect, among pairs of one signature that are still in different components.
 
     What a node shares with another of these is at most its n-grams that aren't its alone: nodes with too many of their
-    own are done, and a pair goes on only if both have enough of the others for the sizes of the two. A pair comes
-    from the smallest signature of those it shares, so it comes once.
+    own are done. The others are dealt into blocks, and blocks that hold different components of one signature are
+    compared two at a time, every set of one with every set of the other. What leaves a task is a forest of links.
     """
     of = labels.select("node", "label")
-    labelled = met.join(of, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    left = table(_open(labelled), "open")
-    share = _alone(held.join(left.select("node").distinct(), "node", "left_semi"), buckets)
-    can = table(share.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent).select("node", "n", (F.col("n") - F.col("alone")).alias("most")), "can")
-    left = table(_open(left.join(can, "node")), "open")  # without the others, most signatures are settled
-    left = left.join(left.groupBy("node").agg(F.collect_list("sig").alias("sigs")), "node")  # a node has as many as its size allows
-    right = left.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "most", "sigs")])
-    enough = F.least("most", "most_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
-    once = F.col("sig") == F.array_min(F.array_intersect("sigs", "sigs_b"))
-    pairs = left.join(right, "sig").where((F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")) & enough & once)
-    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    labelled = met.select("sig", F.col("node")).unionByName(met.select("sig", F.col("center").alias("node")).distinct())
+    labelled = labelled.join(of, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    wide = table(_open(labelled), "open")
+    nodes = table(wide.select("node").distinct(), "nodes")
+    sizes = holders.members.join(nodes, "node", "left_semi").select("node", "n").distinct()
+    share = sizes.join(_alone(nodes, holders, buckets), "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    can = table(share.where(F.col("most") * 100 >= F.col("n") * percent).select("node", "n"), "can")
+    left = table(_open(wide.join(can, "node")), "open")  # without the others, most signatures are settled
+    remove(wide, nodes, can)
+    blocks, together = _blocks(left)
+    held = holders.fetch(blocks.select("node"), lambda node, grams: (node, grams.tobytes()), GRAMS)
+    sides = together.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    groups = sides.join(blocks, "block").join(held, "node").select("x", "y", "block", "node", "label", "grams")
+    links = table(groups.repartition("x", "y").sortWithinPartitions("x", "y", "block").mapInArrow(_compared(percent), "a long, b long"), "verified")
+    remove(left, blocks, together, held)
+    return links
+
+
+def _blocks(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, label, block), and (x, y): the pairs of blocks, x = y too, that a signature asks to compare.
+
+    Nodes that signatures tie together, at once or through others, are one block if they are few enough. Else they are
+    dealt by the smallest signature each has, so that those of one signature stay close, and those of a large one by
+    themselves.
+    """
+    star = left.groupBy("sig").agg(F.min("node").alias("a"))
+    tied = table(left.join(star, "sig").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "tied")
+    coarse = components(tied).withColumnRenamed("label", "coarse")
+    homes = left.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("sig").alias("home"))
+    of_home = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+    placed = homes.join(of_home, "home").join(coarse, "node")
+    of_coarse = placed.groupBy("coarse").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("parts"))
+    part = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("node"), "salts")), "parts")
+    blocks = table(placed.join(of_coarse, "coarse").select("node", "label", F.xxhash64("coarse", part).alias("block")), "blocks")
+    met = left.select("sig", "node").join(blocks.select("node", "block"), "node").groupBy("sig").agg(F.collect_set("block").alias("bs"))
+    pairs = met.select("bs", F.explode("bs").alias("x")).select("x", F.explode("bs").alias("y")).where("x <= y").distinct()
+    return blocks, table(pairs, "together")
+
+
+def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets ``x`` has in common with each of ``y``: a product of indicator matrices, some columns at a time."""
+    sets_ = [*x, *y]
+    grams, own = np.concatenate(sets_), np.repeat(np.arange(len(sets_), dtype=np.int32), [len(v) for v in sets_])
+    order = np.argsort(grams, kind="stable")
+    grams, own = grams[order], own[order]
+    column = np.cumsum(np.concatenate([[True], grams[1:] != grams[:-1]])) - 1
+    sides = [np.bincount(column, weights=w) > 0 for w in (own < len(x), own >= len(x))]
+    both = (sides[0] & sides[1])[column]  # others add nothing
+    own, column = own[both], column[both]
+    column = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1 if len(column) else column
+    out = np.zeros((len(x), len(y)), np.int64)
+    width = 2048
+    cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + width + 1, width))
+    for k in range(len(cuts) - 1):
+        m = np.zeros((len(sets_), width), np.float32)
+        part = slice(cuts[k], cuts[k + 1])
+        m[own[part], column[part] - k * width] = 1
+        out += (m[: len(x)] @ m[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _compared(percent: int):
+    """Of each group of rows (x, y, block, node, label, grams): a forest of links between nodes of different labels."""
+
+    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        x, y, block, node, label, grams = zip(*group, strict=True)
+        own = [k for k, b in enumerate(block) if b == x[0]]
+        other = own if x[0] == y[0] else [k for k, b in enumerate(block) if b == y[0]]
+        sets_ = [np.frombuffer(g, _U) for g in grams]
+        size = np.array([len(g) for g in sets_])
+        common = shared([sets_[k] for k in own], [sets_[k] for k in other])
+        linked = 100 * common >= percent * (size[own][:, None] + size[other][None, :] - common)
+        part = np.unique(label, return_inverse=True)[1]
+        other = np.array(other)
+        for i, k in enumerate(own):
+            for j in other[linked[i]][np.unique(part[other[linked[i]]], return_index=True)[1]].tolist():
+                if part[j] != part[k]:
+                    part[part == part[j]] = part[k]
+                    yield min(node[k], node[j]), max(node[k], node[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != now and held:
+                    yield ch._rows("a long, b long", list(links(held)))
+                    held = []
+                now = row[:2]
+                held.append(row)
+        if held:
+            yield ch._rows("a long, b long", list(links(held)))
+
+    return run
 
 
 def digest(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    _, found = join(docs, n, percent)
-    found = table(found, "components")
+    chunks, found = join(docs, n, percent)
+    remove(chunks)
     least = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return found.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 

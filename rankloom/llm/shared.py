@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,10 +15,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs in one process (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="rankloom-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -32,13 +36,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.scratch = path
+    return held
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``table`` or ``chunks.store`` that nothing reads any more, and lets Spark drop the shuffle files of finished steps.
+
+    Spark's cleaner drops a shuffle once the JVM has collected its plan, which a driver with memory to spare puts off.
+    """
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        if name := getattr(df, "scratch_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    gc.collect()
+    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:

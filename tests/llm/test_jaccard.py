@@ -81,3 +81,26 @@ def test_sketches_never_overstate_the_difference():
 
 def test_empty(spark):
     assert jaccard.digest(frame(spark, [])).count() == 0
+
+
+def test_shared_counts_are_exact():
+    rng = np.random.default_rng(7)
+    pool = np.unique(rng.integers(1, 1 << 63, 6000, dtype=np.uint64))
+    x, y = ([np.sort(rng.choice(pool, rng.integers(1, 3000), replace=False)) for _ in range(n)] for n in (5, 7))
+    assert (jaccard.shared(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+    assert (jaccard.shared(x[:1], [np.array([3], np.uint64)]) == 0).all()
+
+
+def test_large_groups_near_the_threshold(spark, monkeypatch):
+    """Blocks of four nodes: pairs across blocks, and signatures of more nodes than a block, lose no link."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for p in rng.choice(80, int(rng.integers(1, 4)), replace=False):
+            w[p] = f"c{rng.integers(0, 40)}"
+        rows.append((k, " ".join(w)))
+    got = sorted((tuple(r) for r in jaccard.digest(frame(spark, rows), 4, 85).collect()), key=str)
+    assert got == brute(rows, 4, 85) and 1 < len({c for *_, c in got}) < 120
