@@ -85,10 +85,16 @@ def anchors(units: Units, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
     return starts[new], starts[np.append(new[1:] - 1, len(starts) - 1)], h[at[new]] & _LOW
 
 
-def anchor_packets(cid: int, hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """Distinct hashes by bucket; the low bit is set if a hash occurs more than once here."""
-    values, count = np.unique(hashes, return_counts=True)
-    values = values | (count > 1).astype(np.uint64)
+def anchor_packets(cid: int, hashes: np.ndarray, buckets: int, ids: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """Distinct hashes by bucket; the low bit is set if a hash occurs more than once here, or with ``ids``, those of the rows they come from, under more than one id."""
+    values, at, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    again = count > 1
+    if ids is not None:
+        least, most = np.full(len(values), NULL_ID), np.full(len(values), np.iinfo(np.int64).min)
+        np.minimum.at(least, at, ids)
+        np.maximum.at(most, at, ids)
+        again &= least != most
+    values = values | again.astype(np.uint64)
     bounds = bucket_bounds(values, buckets)
     for b in np.flatnonzero(np.diff(bounds)).tolist():
         yield b, cid, values[bounds[b] : bounds[b + 1]].tobytes()
@@ -153,7 +159,7 @@ def contexts(chunk: Chunk, units: Units, length: int, k: int, known: np.ndarray,
         # entities of one context follow each other, so its text is sent once
         fresh = new[k_]
         text, off = gather(units.buf, s[k_[fresh]], (e - s)[k_[fresh]])
-        blob = pack(np.array([batch], np.int64), ids[k_], row[k_].astype(np.int32), first[k_].astype(np.int64), (last - first + 1)[k_].astype(np.int32), n_same[lo:hi].astype(np.int32), n_later[lo:hi].astype(np.int32), first[others[o_bounds[lo] : o_bounds[hi]]].astype(np.int64), fresh, np.diff(off).astype(np.int32), text)
+        blob = pack(np.array([batch], np.int64), ids[k_], row[k_].astype(np.int32), first[k_].astype(np.int64), (last - first + 1)[k_].astype(np.int32), n_same[lo:hi].astype(np.int32), n_later[lo:hi].astype(np.int32), first[others[o_bounds[lo] : o_bounds[hi]]].astype(np.int64), fresh, np.diff(off).astype(np.int32), text, h[k_[fresh]])
         yield b, chunk.cid, squeeze(blob)
 
 
@@ -177,9 +183,10 @@ class Met:
         distinct = np.empty(len(order), np.int64)
         distinct[order] = np.cumsum(new) - 1
         pick = order[new]
-        #: distinct context of each entity; buffer and offsets of the distinct contexts
+        #: distinct context of each entity; buffer, offsets and anchors of the distinct contexts
         self.context = distinct[text_of]
         self.buf, self.off = gather(buf, off[:-1][pick], sizes[pick])
+        self.anchor = np.concatenate([p[11] for p in parts])[pick]
 
     def removals(self, earlier: np.ndarray, same_too: bool) -> Iterator[tuple[int, bytes]]:
         """Replies: starts of the windows to remove as packed [from, to) ranges.

@@ -24,9 +24,10 @@ from .chunks import Chunk
 
 LENGTH = 50
 SHINGLE = 20
-#: Text bytes to a chunk and to a bucket: numpy holds some 150 bytes for each byte of a chunk, some 300 of a bucket's contexts.
+#: Text bytes to a chunk and to a bucket: numpy holds some 150 bytes for each byte of a chunk, some 300 of the contexts it sorts at a time.
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 1 << 19
+SORT_BYTES = 1 << 20
 #: Parts contexts; it occurs in no UTF-8 text.
 SEPARATOR = 0xFF
 
@@ -148,11 +149,18 @@ def _decide(length: int):
         n_text = len(met.off) - 1
         # smallest id that has each distinct context
         least = rp.classes_min(met.context, met.ids, n_text)
-        places, cls, n = equal_strings(met.buf, met.off, length)
-        text_of = np.searchsorted(met.off, places, side="right") - 1
-        first = rp.classes_min(cls, least[text_of], n)
-        by_place = np.full(len(met.buf), ch.NULL_ID)
-        by_place[places] = first[cls]
+        # windows of a context are all different and equal ones have one anchor, so a context that is alone with its anchor needs no sorting
+        anchor = np.unique(met.anchor, return_inverse=True)[1]
+        mixed = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
+        size = np.diff(met.off)
+        by_place = np.repeat(least, size)
+        for part in _parts(anchor[mixed], size[mixed]):
+            texts = mixed[part]
+            buf, off = ch.gather(met.buf, met.off[:-1][texts], size[texts])
+            places, cls, n = equal_strings(buf, off, length)
+            text_of = np.searchsorted(off, places, side="right") - 1
+            first = rp.classes_min(cls, least[texts[text_of]], n)
+            by_place[places - off[text_of] + met.off[:-1][texts[text_of]]] = first[cls]
         w = met.windows.astype(np.int64)
         at, _ = ch.gather(by_place, met.off[:-1][met.context], w)
         yield from met.removals(at < np.repeat(met.ids, w), same_too=False)
@@ -160,13 +168,29 @@ def _decide(length: int):
     return run
 
 
+def _parts(anchor: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The contexts dealt into parts of about SORT_BYTES that keep those of an anchor together, for which a suffix array is made at a time."""
+    order = np.argsort(anchor, kind="stable")
+    if not len(order):
+        return
+    ends = np.flatnonzero(np.append(np.diff(anchor[order]) != 0, True)) + 1
+    total = np.cumsum(size[order])
+    lo, before = 0, 0
+    for hi in ends.tolist():
+        if total[hi - 1] - before >= SORT_BYTES or hi == len(order):
+            yield order[lo:hi]
+            lo, before = hi, int(total[hi - 1])
+
+
 def flagged(docs: DataFrame, length: int = LENGTH, shingle: int = SHINGLE) -> DataFrame:
     """The chunks of ``docs`` with, as replies, the windows to remove."""
     chunks, size = ch.store(docs, "suffix", CHUNK_BYTES)
     buckets = ch.bucket_count(size, BUCKET_BYTES)
 
     def sample(chunk: Chunk, _: list[bytes]):
-        yield from rp.anchor_packets(chunk.cid, rp.anchors(rp.byte_units(chunk), length, shingle)[2], buckets)
+        units = rp.byte_units(chunk)
+        first, _, h = rp.anchors(units, length, shingle)
+        yield from rp.anchor_packets(chunk.cid, h, buckets, chunk.ids[units.rows(first)])
 
     def send(chunk: Chunk, replies: list[bytes]):
         known = np.unique(np.frombuffer(b"".join(replies), np.uint64))
