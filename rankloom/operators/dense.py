@@ -1,7 +1,10 @@
 """Dense scoring: a block of query vectors against every corpus vector, in numpy on Arrow batches.
 
-Queries are taken in blocks of bounded size and broadcast; the corpus is never shuffled. What a batch gives back is its
-own best few of every query, or for gauges its partial sums, so the rows that leave a task don't grow with the corpus.
+Queries are a stated set, taken in blocks of bounded size and broadcast; the corpus is never shuffled. What a task gives
+back is its own best few of every query, or for gauges its partial sums, so what leaves a task doesn't grow with the corpus.
+
+Vectors take part if all their components are there and finite and they are as long as the first query's; others have
+no scores, whether they are documents or queries. A zero vector has the cosine 0 with everything. Ids are of any one type.
 """
 
 from __future__ import annotations
@@ -14,123 +17,199 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .rank import UNIT_PLACES, ranked
 
+_ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 #: Queries in a block.
 BLOCK = 4096
 
 
-def norm(v: Column) -> Column:
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.when(n == 0, 1.0).otherwise(n)
-
-
-def normalized(v: Column) -> Column:
-    """The vector over its length; a zero vector stays."""
-    return F.transform(v, lambda x: x.cast("double") / norm(v))
-
-
-def hashed(terms: Column, dim: int) -> Column:
-    """Counts of terms by md5 bucket: the default encoder, deterministic and the same in any engine."""
-    bucket = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % dim
-    buckets = F.transform(terms, bucket)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+def valid(vector: Column) -> Column:
+    """Whether all components are there and finite."""
+    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (ids, vectors) of the valid queries of one length, fetched a partition at a time."""
     ids, rows = [], []
-    for r in queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator():
+    known = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where(valid(F.col("vector")))
+    for r in known.toLocalIterator():
+        if rows and len(r[1]) != len(rows[0]):
+            raise ValueError("query vectors must have one length")
         ids.append(r[0])
         rows.append(r[1])
         if len(ids) == BLOCK:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
+            yield _array(ids), np.array(rows)
+            ids, rows = [], rows[:0]
     if ids:
-        yield np.array(ids), np.array(rows)
+        yield _array(ids), np.array(rows)
+
+
+def _array(values: list) -> np.ndarray:
+    out = np.array(values)
+    return out if out.dtype.kind in "iu" else np.array(values, object)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors over their lengths; scaled first, so that squares neither overflow nor vanish."""
+    top = np.abs(x).max(axis=-1, keepdims=True)
+    x = x / np.where(top == 0, 1, top)
     n = np.sqrt((x * x).sum(axis=-1, keepdims=True))
     return x / np.where(n == 0, 1, n)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def _scores(q: np.ndarray, x: np.ndarray, fields: list[tuple[int, int, float]] | None) -> np.ndarray:
-    """Cosines, or the weighted mean of cosines of slices."""
+def _scores(q: np.ndarray, x: np.ndarray, fields: list[tuple[int, int, float]] | None, best: bool = False) -> np.ndarray:
+    """Cosines, or the weighted mean or with ``best`` the weighted largest of cosines of slices."""
     if fields is None:
         return _unit(q) @ _unit(x).T
-    total = sum(w for *_, w in fields)
+    if best:
+        return np.max([w * (_unit(q[:, a:b]) @ _unit(x[:, a:b]).T) for a, b, w in fields], axis=0)
+    total = sum(w for *_, w in fields) or 1.0
     return sum(w * (_unit(q[:, a:b]) @ _unit(x[:, a:b]).T) for a, b, w in fields) / total
 
 
-def _map(corpus: DataFrame, queries: DataFrame, fn, schema: str, extra: list[str]) -> DataFrame:
-    rows = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"), *extra)
+def _map(corpus: DataFrame, queries: DataFrame, fn, schema: str, extra: list[Column]) -> DataFrame:
+    """``fn`` of (query ids, query vectors, document ids, document vectors, extra columns) a batch; documents in order of their ids."""
+    rows = corpus.select("doc_id", F.col("vector").cast("array<double>").alias("vector"), *extra).where(valid(F.col("vector")))
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    kinds = [_ARROW.get(k) for k in kinds]
     out = None
-    for block in _blocks(queries):
-        share = corpus.sparkSession.sparkContext.broadcast(block)
+    for ids, q in _blocks(queries):
+        share = corpus.sparkSession.sparkContext.broadcast((ids, q))
 
         def run(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
             ids, q = share.value
             for batch in batches:
                 if batch.num_rows:
-                    cols = fn(ids, q, batch)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in schema.split(", ")])
+                    docs = _array(batch.column(0).to_pylist())
+                    order = np.argsort(docs, kind="stable")
+                    cols = fn(ids, q, docs[order], _matrix(batch.column(1))[order], *[np.asarray(c.to_pylist(), object)[order] for c in batch.columns[2:]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c.tolist() if c.dtype == object else c, k) for c, k in zip(cols, kinds, strict=True)], names=list(names))
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.where(F.size("vector") == q.shape[1]).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else corpus.sparkSession.createDataFrame([], schema)
 
 
-def topk(corpus: DataFrame, queries: DataFrame, k: int, fields: list[tuple[int, int, float]] | None = None, prior: str | None = None, skip_self: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): the ``k`` best of each query; ``prior`` is a corpus column added to the score."""
+def _types(corpus: DataFrame, queries: DataFrame) -> tuple[str, str]:
+    return dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["doc_id"]
+
+
+def _with_prior(s: np.ndarray, prior: tuple[np.ndarray, ...]) -> np.ndarray:
+    return s + prior[0].astype(np.float64) if prior else s
+
+
+def _prior(prior: Column | None) -> list[Column]:
+    return [] if prior is None else [F.coalesce(prior.cast("double"), F.lit(0.0)).alias("prior")]
+
+
+def topk(corpus: DataFrame, queries: DataFrame, k: int, fields: list[tuple[int, int, float]] | None = None, prior: Column | None = None, skip_self: bool = False, best_field: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` best of each query; ``prior`` is a column of the corpus added to the score.
+
+    A query is scored by the weighted mean over ``fields`` (from, to, weight), or with ``best_field`` by the largest weighted field.
+    """
     if k < 1:
         raise ValueError("k must be 1 or more")
 
-    def best(ids: np.ndarray, q: np.ndarray, batch: pa.RecordBatch):
-        docs = batch.column(0).to_numpy()
-        s = _scores(q, _matrix(batch.column(1)), fields)
-        if prior:
-            s = s + np.asarray(batch.column(2).to_numpy(zero_copy_only=False), np.float64)
+    def best(ids: np.ndarray, q: np.ndarray, docs: np.ndarray, x: np.ndarray, *own: np.ndarray):
+        s = _with_prior(_scores(q, x, fields, best_field), own)
         if skip_self:
             s[ids[:, None] == docs[None, :]] = -np.inf
         n = min(k, len(docs))
-        pick = np.lexsort((np.broadcast_to(docs, s.shape), -np.round(s, UNIT_PLACES)), axis=1)[:, :n]
+        pick = np.argsort(-np.round(s, UNIT_PLACES), axis=1, kind="stable")[:, :n]  # documents come by id, so ties go to the smaller
         scores = np.take_along_axis(s, pick, axis=1).ravel()
-        rows = np.repeat(ids, n), docs[pick].ravel(), scores
-        return [c[np.isfinite(scores)] for c in rows]
+        ok = np.isfinite(scores)
+        return np.repeat(ids, n)[ok], docs[pick].ravel()[ok], scores[ok]
+
+    a, b = _types(corpus, queries)
+    return ranked(_map(corpus, queries, best, f"query_id {a}, doc_id {b}, score double", _prior(prior)), k)
 
-    found = _map(corpus, queries, best, "query_id long, doc_id long, score double", [prior] if prior else [])
-    return ranked(found, k)
 
+def scores(corpus: DataFrame, queries: DataFrame, fields: list[tuple[int, int, float]] | None = None, prior: Column | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every query and document, for small query sets whose full score vectors are wanted."""
 
-def grouped_max(corpus: DataFrame, queries: DataFrame, owner: str) -> DataFrame:
-    """(query_id, owner, score): the best cosine over each owner's vectors, 0 at least; the query's own vector is left out."""
+    def every(ids: np.ndarray, q: np.ndarray, docs: np.ndarray, x: np.ndarray, *own: np.ndarray):
+        s = _with_prior(_scores(q, x, fields), own)
+        return np.repeat(ids, len(docs)), np.tile(docs, len(ids)), s.ravel()
 
-    def best(ids: np.ndarray, q: np.ndarray, batch: pa.RecordBatch):
-        docs, own = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-        s = _scores(q, _matrix(batch.column(1)), None)
-        s[ids[:, None] == docs[None, :]] = -1
-        names, at = np.unique(own, return_inverse=True)
-        top = np.full((len(names), len(ids)), -1.0)
-        np.maximum.at(top, at, s.T)
-        return [np.repeat(ids, len(names)), np.tile(names.astype(np.int64), len(ids)), top.T.ravel()]
+    a, b = _types(corpus, queries)
+    return _map(corpus, queries, every, f"query_id {a}, doc_id {b}, score double", _prior(prior))
 
-    found = _map(corpus, queries, best, "query_id long, owner long, score double", [owner])
-    return found.groupBy("query_id", "owner").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"))
 
+def grouped(corpus: DataFrame, queries: DataFrame, owner: str, how: str = "max", skip_self: bool = True) -> DataFrame:
+    """(query_id, owner, score) over each owner's vectors: the best cosine, 0 at least; the ``mean``; or the ``softmax`` vote, the log of the mean of exp.
 
-def sums(corpus: DataFrame, queries: DataFrame, fields: list[tuple[int, int, float]] | None = None) -> DataFrame:
+    With ``skip_self`` a query's own vector takes no part.
+    """
+    if how not in ("max", "mean", "softmax"):
+        raise KeyError(how)
+
+    def partial(ids: np.ndarray, q: np.ndarray, docs: np.ndarray, x: np.ndarray, own: np.ndarray):
+        s = _scores(q, x, None)
+        gone = (ids[:, None] == docs[None, :]) if skip_self else np.zeros(s.shape, bool)
+        names = {v: i for i, v in enumerate(dict.fromkeys(own.tolist()))}
+        at = np.array([names[v] for v in own.tolist()])
+        n, top, total = (np.full((len(names), len(ids)), v) for v in (0.0, -1.0, 0.0))
+        np.add.at(n, at, (~gone).T.astype(float))
+        np.maximum.at(top, at, np.where(gone, -1.0, s).T)
+        np.add.at(total, at, np.where(gone, 0.0, s if how == "mean" else np.exp(s)).T)
+        return np.repeat(ids, len(names)), np.array(list(names) * len(ids), own.dtype), n.T.ravel(), top.T.ravel(), total.T.ravel()
+
+    a, _ = _types(corpus, queries)
+    found = _map(corpus, queries, partial, f"query_id {a}, owner {dict(corpus.dtypes)[owner]}, n double, top double, total double", [F.col(owner)])
+    mean = F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))
+    value = {"max": F.greatest(F.max("top"), F.lit(0.0)), "mean": F.coalesce(mean, F.lit(0.0)), "softmax": F.coalesce(F.ln(mean), F.lit(0.0))}[how]
+    return found.groupBy("query_id", "owner").agg(value.alias("score"))
+
+
+def sums(corpus: DataFrame, queries: DataFrame, fields: list[tuple[int, int, float]] | None = None, prior: Column | None = None) -> DataFrame:
     """(query_id, confidence) over all corpus scores, from partial counts, means and squared deviations."""
 
-    def partial(ids: np.ndarray, q: np.ndarray, batch: pa.RecordBatch):
-        s = _scores(q, _matrix(batch.column(1)), fields)
+    def partial(ids: np.ndarray, q: np.ndarray, docs: np.ndarray, x: np.ndarray, *own: np.ndarray):
+        s = _with_prior(_scores(q, x, fields), own)
         m = s.mean(axis=1)
-        return [ids, np.full(len(ids), s.shape[1]), m, ((s - m[:, None]) ** 2).sum(axis=1), s.max(axis=1)]
+        return ids, np.full(len(ids), s.shape[1]), m, ((s - m[:, None]) ** 2).sum(axis=1), s.max(axis=1)
 
-    parts = _map(corpus, queries, partial, "query_id long, n long, m double, ss double, top double", [])
+    a, _ = _types(corpus, queries)
+    parts = _map(corpus, queries, partial, f"query_id {a}, n long, m double, ss double, top double", _prior(prior))
     mean = parts.groupBy("query_id").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
     whole = parts.join(mean, "query_id").groupBy("query_id", "mean").agg(
         F.sum("n").alias("n"), F.max("top").alias("top"), F.sum(F.col("ss") + F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("ss"))
     std = F.sqrt(F.col("ss") / F.col("n"))
     return whole.select("query_id", F.when(std <= 1e-9, 0.0).otherwise((F.col("top") - F.col("mean")) / std).alias("confidence"))
+
+
+def max_sim(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, owner, score): for each vector of a query (query_id, vector) its best cosine with the owner's (owner, vector), 0 at least, summed up."""
+    each = asked.select("query_id", F.monotonically_increasing_id().alias("part"), "vector").persist()
+    own = tokens.select("owner", F.monotonically_increasing_id().alias("doc_id"), "vector")
+    best = grouped(own, each.select(F.col("part").alias("query_id"), "vector"), "owner", skip_self=False)
+    return best.withColumnRenamed("query_id", "part").join(each.select("part", "query_id"), "part").groupBy("query_id", "owner").agg(F.sum("score").alias("score"))
+
+
+def rocchio(corpus: DataFrame, queries: DataFrame, k: int, keep: float = 1.0, gain: float = 0.75, skip_self: bool = False) -> DataFrame:
+    """``queries`` moved towards what they find: ``keep`` times the vector and ``gain`` times the mean of the ``k`` best documents' vectors."""
+    found = topk(corpus, queries, k, skip_self=skip_self).select("query_id", "doc_id")
+    parts = found.join(corpus.select("doc_id", F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x")), "doc_id")
+    mean = parts.groupBy("query_id", "i").agg(F.avg("x").alias("x")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
+    moved = F.zip_with(F.col("vector").cast("array<double>"), F.coalesce("mean", F.col("vector").cast("array<double>")), lambda a, b: F.when(F.col("mean").isNull(), a).otherwise(keep * a + gain * b))
+    return queries.join(mean, "query_id", "left").select("query_id", moved.alias("vector"))
+
+
+def truncated(rows: DataFrame, dim: int) -> DataFrame:
+    """``rows`` with the first ``dim`` components of their vectors, for encoders trained so that these say most."""
+    return rows.withColumn("vector", F.slice("vector", 1, dim))
+
+
+def sign_bits(vector: Column) -> Column:
+    """Bits of the positive components, 64 to a long."""
+    groups = F.sequence(F.lit(0), F.greatest(F.floor((F.size(vector) - 1) / 64), F.lit(0)).cast("int"))
+    bits = lambda g: F.aggregate(F.slice(vector, g * 64 + 1, 64), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR((x > 0).cast("long")))
+    return F.transform(groups, bits)
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Bits in which two codes of ``sign_bits`` differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)

@@ -23,13 +23,13 @@ class Gate:
 
     def decide(self, queries: DataFrame, top: DataFrame, confidence: DataFrame) -> DataFrame:
         """A row for every query: (query_id, doc_id, score, confidence, shown, reason); doc_id is kept even if not shown."""
-        kind = "confidence" if self.a is None else "probability"
+        kind = "confidence" if self.a is None else "prob"
         met = queries.select("query_id").join(top.select("query_id", "doc_id", "score"), "query_id", "left").join(confidence, "query_id", "left")
         c = F.coalesce("confidence", F.lit(0.0))
         found, gauge = F.col("doc_id").isNotNull(), self.gauge(c)
         shown = found & (gauge >= self.threshold)
         reason = F.when(~found, "no candidates").when(shown, "shown").otherwise(
-            F.format_string(f"{kind} %.3f < threshold {self.threshold:.3f}", gauge))
+            F.format_string(f"{kind} %.3f < threshold {self.threshold:.3f}", F.bround(gauge, 3)))
         return met.select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), c.alias("confidence"), shown.alias("shown"), reason.alias("reason"))
 
 

@@ -1,13 +1,14 @@
 """BM25 over a query relation and a corpus relation.
 
-Only the terms of queries are looked up in documents, so the corpus is scanned, not shuffled: what leaves the scan is one
-row for each document and query term it holds, and, for the document frequencies of all terms (the floor of negative
-idf values needs their mean), one partial count a term and task.
+The corpus is scanned twice: once for the document frequencies of all terms (the floor of negative idf values needs
+their mean) with the totals, which leave the scan as one partial count a term and task, and once to score, where only the
+terms of queries leave it, one row for each document and query term it holds. Frequencies are kept on executors' disks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.text import tokens
 
@@ -16,48 +17,95 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SATURATION = 8.0
 
 
+#: Query terms times documents' rows that a broadcast side may have; beyond it Spark chooses the join by its statistics.
+BROADCAST_ROWS = 200_000
+
+
 def lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, terms, dl)."""
     return docs.select("doc_id", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """One row: documents n and mean length avgdl."""
-    return lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def frequencies(docs: DataFrame) -> DataFrame:
     """(term, df) of every term."""
     return lengths(docs).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Stands among terms for the totals of all documents: no token has white space.
+_TOTALS = " "
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(term, df, dl) in one scan: document frequencies, and one row of totals, documents and their terms."""
+    made = lengths(docs).select(F.explode(F.array_append(F.array_distinct("terms"), F.lit(_TOTALS))).alias("term"), "dl")
+    return made.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == _TOTALS, F.col("dl"))).alias("dl"))
+
+
+def _statistics(docs: DataFrame) -> tuple[DataFrame, int, float, float]:
+    """(term, df) of every term, the number of documents, their mean length, and the mean over terms of the raw idf."""
+    held = _counted(docs).persist(StorageLevel.DISK_ONLY)
+    n, total = held.where(F.col("term") == _TOTALS).select("df", "dl").first() or (0, 0)
+    terms = held.where(F.col("term") != _TOTALS).select("term", "df")
+    mean = terms.agg(F.avg(_raw(n))).first()[0]
+    return terms, n, (total or 0) / n if n else 0.0, mean or 0.0
+
+
+def _raw(n: int) -> Column:
+    return F.ln(F.lit(float(n)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+
+
+def _idf(n: int, mean: float) -> Column:
+    return F.when(_raw(n) < 0, F.lit(EPSILON * mean)).otherwise(_raw(n))
+
+
 def inverse_frequencies(docs: DataFrame) -> DataFrame:
     """(term, df, idf): negative values are replaced by a fraction of the mean over all terms."""
-    raw = frequencies(docs).crossJoin(F.broadcast(statistics(docs))).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    terms, n, _, mean = _statistics(docs)
+    return terms.select("term", "df", _idf(n, mean).alias("idf"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def few(df: DataFrame) -> bool:
+    """Whether ``df`` has few enough rows, counted, to be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it is small."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(held) if few(held) else held
+
+
+def _met(docs: DataFrame, wanted: DataFrame, asked: DataFrame, weight: Column) -> DataFrame:
+    """(query_id, doc_id, score): the sum over shared terms of ``weight`` of tf, dl and what ``wanted`` and ``asked`` hold.
+
+    Only terms of queries leave the scan, as partial counts; they are dealt out by document and term, so a common term
+    is no hot key, and both small sides are broadcast where a count has shown that they are small.
+    """
+    known = lengths(docs)
+    postings = known.select("doc_id", "dl", F.explode("terms").alias("term")).join(_small(wanted), "term")
+    tf = postings.groupBy("doc_id", "term", *[c for c in wanted.columns if c != "term"], "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return tf.join(_small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
 def score(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of documents that share a term with a query; ``queries`` has query_id and text."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
-    found = lengths(docs).select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    tf = found.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = inverse_frequencies(docs).select("term", "idf").join(wanted, "term", "left_semi")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    weighed = tf.join(idf, "term").crossJoin(F.broadcast(statistics(docs))).select("term", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    return weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    terms, n, avgdl, mean = _statistics(docs)
+    asked = _asked(queries)
+    wanted = terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", _idf(n, mean).alias("idf"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0))
+    return _met(docs, wanted, asked, F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): sum over shared terms of (1 + ln tf) * ln(n / df), the query's counts included."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
-    found = lengths(docs).select("doc_id", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = frequencies(docs).join(wanted, "term", "left_semi").crossJoin(F.broadcast(statistics(docs)))
-    met = found.join(df, "term").join(asked, "term")
-    return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * (1 + F.ln("tf")) * F.ln(F.col("n") / F.col("df"))).alias("score"))
+    terms, n, *_ = _statistics(docs)
+    asked = _asked(queries)
+    wanted = terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", F.ln(F.lit(float(n)) / F.col("df")).alias("idf"))
+    return _met(docs, wanted, asked, F.col("qtf") * (1 + F.ln("tf")) * F.col("idf"))
 
 
 def saturated(scores: DataFrame) -> DataFrame:

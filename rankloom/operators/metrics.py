@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -22,8 +23,27 @@ def rank_metrics(ranks: DataFrame, k: int) -> DataFrame:
     )
 
 
+def running(rows: DataFrame, by: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """``rows``, which have distinct values of ``by``, with ``upto_<column>``: the column's sum over all rows up to and with each.
+
+    Rows are dealt out by cut points of ``by``, summed up where they are, and shifted by the sums of the cuts before them:
+    what one task sees is a share of the rows, and one row a cut.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = rows.where(F.col(by).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)  # read for the cuts, their sums and the rows
+    cuts = sorted(set(known.select(F.col(by).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    dealt = known.withColumn("_cut", -place if descending else place)
+    before = Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)  # a row a cut
+    sums = dealt.groupBy("_cut").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    shift = sums.select("_cut", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns])
+    here = Window.partitionBy("_cut").orderBy(F.desc(by) if descending else F.col(by)).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.join(F.broadcast(shift), "_cut")
+    return met.select(*rows.columns, *[(F.sum(c).over(here) + F.col(f"_b_{c}")).alias(f"upto_{c}") for c in columns])
+
+
 def _by_score(observed: DataFrame, score: str) -> tuple[DataFrame, DataFrame]:
-    """Positives and negatives of each distinct score, and their totals: windows then run over distinct scores only."""
+    """Positives and negatives of each distinct score, and their totals."""
     tied = observed.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
         F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("q"))
     return tied, tied.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
@@ -32,8 +52,7 @@ def _by_score(observed: DataFrame, score: str) -> tuple[DataFrame, DataFrame]:
 def auroc(observed: DataFrame, score: str = "score") -> DataFrame:
     """One row: the area under the ROC curve of ``label`` (0 or 1), ties counted half; null without both classes."""
     tied, total = _by_score(observed, score)
-    below = F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    won = tied.withColumn("won", F.col("p") * (F.coalesce(below, F.lit(0.0)) + F.col("q") / 2))
+    won = running(tied, "s", ["q"]).withColumn("won", F.col("p") * (F.col("upto_q") - F.col("q") / 2))
     pairs = F.first("tp") * F.first("tq")
     return won.crossJoin(F.broadcast(total)).agg(F.when(pairs > 0, F.sum("won") / F.nullif(pairs, F.lit(0.0))).alias("auroc"))
 
@@ -41,29 +60,37 @@ def auroc(observed: DataFrame, score: str = "score") -> DataFrame:
 def auprc(observed: DataFrame, score: str = "score") -> DataFrame:
     """One row: average precision, ties taken together."""
     tied, total = _by_score(observed, score)
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    at = tied.withColumns({"cp": F.sum("p").over(down), "cq": F.sum("q").over(down)}).crossJoin(F.broadcast(total))
-    return at.agg((F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cq"))) / F.nullif(F.first("tp"), F.lit(0.0))).alias("auprc"))
+    at = running(tied, "s", ["p", "q"], descending=True).crossJoin(F.broadcast(total))
+    return at.agg((F.sum(F.col("p") * F.col("upto_p") / (F.col("upto_p") + F.col("upto_q"))) / F.nullif(F.first("tp"), F.lit(0.0))).alias("auprc"))
 
 
 def precision_at_coverage(observed: DataFrame, coverages: tuple[float, ...] = (0.5, 0.7, 0.9)) -> DataFrame:
-    """(coverage, precision): mean of ``correct`` over the most confident share of queries; half-even rounding, one at least."""
-    order = Window.orderBy(F.desc("confidence"), "query_id")
-    placed = observed.withColumn("place", F.row_number().over(order))
+    """(coverage, precision): mean of ``correct`` over the most confident share of queries, ties by id; half-even rounding, one at least."""
+    tied = observed.groupBy("confidence").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("correct").cast("long")).alias("p"))
+    upto = running(tied, "confidence", ["c", "p"], descending=True)
     n = observed.agg(F.count(F.lit(1)).alias("n"))
     shares = observed.sparkSession.createDataFrame([(c,) for c in coverages], "coverage double")
-    cuts = shares.crossJoin(n).withColumn("cut", F.greatest(F.lit(1.0), F.rint(F.col("coverage") * F.col("n"))))
-    return placed.join(F.broadcast(cuts), F.col("place") <= F.col("cut")).groupBy("coverage").agg(F.avg(F.col("correct").cast("double")).alias("precision"))
+    cuts = shares.crossJoin(n).withColumn("cut", F.greatest(F.lit(1.0), F.rint(F.col("coverage") * F.col("n"))).cast("long"))
+    met = upto.join(F.broadcast(cuts), F.col("upto_c") - F.col("c") < F.col("cut"))
+    whole = met.where(F.col("upto_c") <= F.col("cut")).groupBy("coverage").agg(F.sum("p").alias("won"))
+    # of the group that a cut goes through, those with the smallest ids count
+    split = met.where(F.col("upto_c") > F.col("cut")).select("coverage", F.col("confidence").alias("at"), (F.col("cut") - (F.col("upto_c") - F.col("c"))).alias("room"))
+    own = Window.partitionBy("coverage").orderBy("query_id")
+    some = observed.join(F.broadcast(split), F.col("confidence") == F.col("at")).withColumn("r", F.row_number().over(own)).where(F.col("r") <= F.col("room"))
+    part = some.groupBy("coverage").agg(F.sum(F.col("correct").cast("long")).alias("won"))
+    won = whole.unionByName(part).groupBy("coverage").agg(F.sum("won").alias("won"))
+    return cuts.where("n > 0").join(won, "coverage", "left").select("coverage", (F.coalesce("won", F.lit(0)) / F.col("cut")).alias("precision"))
 
 
 def percentiles(values: DataFrame, column: str) -> DataFrame:
-    """One row: interpolated median, and the order statistic at max(1, floor(0.95 n))."""
+    """One row: interpolated median, and the order statistic at max(1, floor(0.95 n)); no row without values."""
     v = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    n = v.agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.lit(0.5)).alias("p50"))
+    upto = running(v.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v", ["c"])
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    at = lambda place: F.min(F.when(F.col("upto_c") >= place, F.col("v")))
+    middle = at(F.ceil(F.col("n") / 2)) / 2 + at(F.floor(F.col("n") / 2) + 1) / 2
     place = F.greatest(F.lit(1.0), F.floor(F.lit(0.95) * F.col("n")).cast("double"))
-    return upto.crossJoin(F.broadcast(n)).where(F.col("upto") >= place).groupBy("p50", "n").agg(F.min("v").alias("p95")).select("p50", "p95", "n")
+    return upto.crossJoin(F.broadcast(n)).groupBy("n").agg(middle.alias("p50"), at(place).alias("p95")).select("p50", "p95", "n")
 
 
 def suppression(poor: DataFrame, top: DataFrame) -> DataFrame:
@@ -95,10 +122,15 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return total.crossJoin(chance).select(((po - pe) / F.nullif(1 - pe, F.lit(0.0))).alias("kappa"))
 
 
-def mid_rank(value: str, partition: list[Column] | None = None) -> tuple[Column, Column]:
-    """Rank of a value with ties at their mean: (rank window expression, count of ties expression)."""
-    order = Window.partitionBy(*(partition or [])).orderBy(value)
-    return F.rank().over(order), F.count(F.lit(1)).over(Window.partitionBy(*(partition or []), F.col(value)))
+def krippendorff(ratings: DataFrame) -> DataFrame:
+    """One row: Krippendorff's alpha of nominal (item, rater, value); items with fewer than two values say nothing, repeated rows count."""
+    known = ratings.where(F.col("value").isNotNull())
+    cells = known.groupBy("item", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    items = cells.groupBy("item").agg(F.sum("c").alias("m"), F.sum(F.col("c") ** 2).alias("cc")).where("m > 1")
+    seen = items.agg(F.sum("m").alias("n"), F.sum((F.col("m") ** 2 - F.col("cc")) / (F.col("m") - 1)).alias("apart"))
+    shares = cells.join(items.select("item"), "item").groupBy("value").agg(F.sum("c").alias("v")).agg(F.sum(F.col("v") ** 2).alias("vv"))
+    expected = (F.col("n") ** 2 - F.col("vv")) / (F.col("n") - 1)
+    return seen.crossJoin(shares).select((1 - F.col("apart") / F.nullif(expected, F.lit(0.0))).alias("alpha"))
 
 
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -106,9 +138,8 @@ def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
     known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     ranked = known
     for c in ("a", "b"):
-        counts = known.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(c, (before + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
+        counts = running(known.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, ["n"])
+        ranks = counts.select(c, (F.col("upto_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
         ranked = ranked.join(ranks, c)
     return ranked.agg(F.corr("ra", "rb").alias("rho"))
 
@@ -123,15 +154,29 @@ def abstention(observed: DataFrame, wrong_cost: float = 1.0, abstain_cost: float
         ((F.col("tp") - wrong_cost * (F.col("s") - F.col("tp")) - abstain_cost * (F.col("n") - F.col("s"))) / F.col("n")).alias("utility"))
 
 
+#: Columns of a printed leaderboard.
+BOARD = ("precision_at_1", "recall_at_k", "mrr", "ndcg_at_k", "gate_auroc", "poor_match_suppression", "latency_p50_ms", "latency_p95_ms")
+
+
+def _cell(df: DataFrame, name: str) -> Column:
+    """A number with three places, a whole number as it is, n/a where there is none."""
+    if name not in df.columns:
+        return F.lit("n/a")
+    if dict(df.dtypes)[name] in ("int", "bigint", "smallint", "tinyint"):
+        return F.coalesce(F.col(name).cast("string"), F.lit("n/a"))
+    value = F.col(name).cast("double")
+    return F.when(value.isNull(), "n/a").when(F.isnan(value), "nan").otherwise(F.format_string("%.3f", F.bround(value, 3)))
+
+
 def leaderboard(metrics: DataFrame) -> DataFrame:
-    """(method, metric, value): a metrics row per method unpivoted; values with three places, missing ones as n/a."""
+    """(method, metric, value): a metrics row per method unpivoted, as printed."""
     names = [c for c in metrics.columns if c != "method"]
-    pairs = ", ".join(f"'{c}', cast({c} as double)" for c in names)
-    long = metrics.selectExpr("method", f"stack({len(names)}, {pairs}) as (metric, number)")
-    return long.select("method", "metric", F.when(F.col("number").isNull() | F.isnan("number"), "n/a").otherwise(F.format_string("%.3f", F.col("number"))).alias("value"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), _cell(metrics, c).alias("value")) for c in names])
+    return metrics.select("method", F.inline(pairs))
 
 
-def markdown(metrics: DataFrame) -> DataFrame:
-    """(method, line): the table rows of a leaderboard in Markdown."""
-    cells = [F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.3f", F.col(c).cast("double"))) for c in metrics.columns if c != "method"]
-    return metrics.select("method", F.concat(F.lit("| "), F.concat_ws(" | ", "method", *cells), F.lit(" |")).alias("line"))
+def markdown(metrics: DataFrame, columns: tuple[str, ...] = BOARD) -> str:
+    """The leaderboard as a Markdown table, a line a method in order of their names."""
+    rows = metrics.select("method", F.concat(F.lit("| "), F.concat_ws(" | ", "method", *[_cell(metrics, c) for c in columns]), F.lit(" |")).alias("line")).orderBy("method").collect()
+    head = "| method | " + " | ".join(columns) + " |"
+    return "\n".join([head, "|" + "---|" * (len(columns) + 1), *(r["line"] for r in rows)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions import text as tx
@@ -55,34 +56,47 @@ def _hashed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, doc_id): documents that contain an item word for word. Items are a query set, each batch of documents meets all."""
-    items = _asked(spark, sf).where("text is not null")
-    return _docs(spark, sf).join(items.select("query_id", F.col("text").alias("item")), F.col("text").contains(F.col("item"))).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id): documents that contain an item word for word.
+
+    An item's inner tokens stand whole in any text that contains it; the rarest of them finds the documents to look at.
+    Items of fewer than three tokens, a small part of a stated query set, are looked for in every document.
+    """
+    docs, items = _docs(spark, sf), _asked(spark, sf).where("text is not null").select("query_id", F.col("text").alias("item"))
+    inner = items.withColumn("inner", F.array_distinct(F.slice(tx.tokens(F.col("item")), 2, F.greatest(F.size(tx.tokens(F.col("item"))) - 2, F.lit(0)))))
+    common = lexical.frequencies(docs)
+    each = inner.select("query_id", "item", F.explode("inner").alias("term")).join(common, "term", "left")
+    anchors = each.groupBy("query_id", "item").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("term"))
+    found = docs.select("doc_id", "text", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).join(F.broadcast(anchors) if lexical.few(anchors) else anchors, "term")
+    short = inner.where(F.size("inner") == 0).select("query_id", "item")
+    rest = docs.crossJoin(F.broadcast(short)) if lexical.few(short) else docs.crossJoin(short)
+    met = found.select("query_id", "doc_id", "text", "item").unionByName(rest.select("query_id", "doc_id", "text", "item"))
+    return met.where(F.col("text").contains(F.col("item"))).select("query_id", "doc_id").distinct()
 
 
 def _observed(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, confidence, correct): is the best match a gold document?"""
-    scores = _saturated(spark, sf)
+    scores = _saturated(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     top = rank.ranked(scores, 1).select("query_id", "doc_id").join(_gold(spark, sf).withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     sure = rank.confidence(scores, _n(spark, sf))
     return _asked(spark, sf).select("query_id").join(sure, "query_id", "left").join(top, "query_id", "left").select(
-        "query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("hit", F.lit(0)).alias("correct"))
+        "query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("hit", F.lit(0)).alias("correct")).persist()  # a row a query
 
 
 def _placed(df: DataFrame, *extra: str) -> DataFrame:
-    return df.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"), *extra)
+    return df.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.bround("score", 4).alias("score"), *extra)
 
 
 # --- SQL shared by several queries -------------------------------------------------------------------------------
 _TOKENS = "regexp_extract_all(lower(coalesce({t}, '')), '[a-z0-9]+')"
-_BM25 = f"""
+_ITEMS = "SELECT item_id AS query_id, text FROM benchmark"
+_BM25 = f"""asked AS (SELECT item_id AS query_id, text FROM benchmark),
 dt AS (SELECT doc_id, {_TOKENS.format(t='text')} AS terms FROM documents),
 st AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM dt),
 tf AS (SELECT doc_id, len(terms) AS dl, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM dt) GROUP BY doc_id, dl, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format(t='text')}) AS term FROM benchmark) GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS.format(t='text')}) AS term FROM asked) GROUP BY ALL),
 bm AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS raw_score
        FROM qt JOIN tf USING (term) JOIN idf USING (term), st GROUP BY query_id, doc_id),
 sat AS (SELECT query_id, doc_id, CASE WHEN raw_score > 0 THEN raw_score / (raw_score + 8) ELSE 0 END AS score FROM bm),
@@ -134,15 +148,23 @@ BM25_SATURATED_CONFIDENCE = f"WITH {_BM25} SELECT query_id, round(confidence, 4)
 
 
 def bm25_gate(spark: SparkSession, sf: str) -> DataFrame:
-    scores = _saturated(spark, sf)
-    made = g.Gate().decide(_asked(spark, sf), rank.ranked(scores, 1), rank.confidence(scores, _n(spark, sf)))
-    return made.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.round("confidence", 3).alias("confidence"), "shown", "reason")
-
-
-BM25_GATE = f"""WITH {_BM25} SELECT b.item_id AS query_id, r.doc_id, round(coalesce(r.score, 0), 4) AS score, round(coalesce(confidence, 0), 3) AS confidence,
+    """Decisions on whole items, most of which are unsure; on the longest word of each, most of which are sure; and on words that nothing has."""
+    items = _asked(spark, sf)
+    words = F.array_sort(F.transform(tx.tokens(F.col("text")), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    rare = items.select((F.col("query_id") + 100_000).alias("query_id"), F.get(words, F.lit(0))["t"].alias("text"))
+    none = items.select((F.col("query_id") + 200_000).alias("query_id"), F.concat(F.lit("zq"), F.col("query_id").cast("string"), F.lit("qz")).alias("text"))
+    asked = items.unionByName(rare).unionByName(none)
+    scores = lexical.saturated(lexical.score(_docs(spark, sf), asked)).persist(StorageLevel.MEMORY_AND_DISK)
+    made = g.Gate().decide(asked, rank.ranked(scores, 1), rank.confidence(scores, _n(spark, sf)))
+    return made.select("query_id", "doc_id", F.bround("score", 4).alias("score"), F.bround("confidence", 3).alias("confidence"), "shown", "reason")
+
+
+_GATED = f"""{_ITEMS} UNION ALL SELECT item_id + 200000, 'zq' || item_id || 'qz' FROM benchmark UNION ALL
+SELECT item_id + 100000, list_sort(list_transform({_TOKENS.format(t='text')}, lambda t: {{'n': -length(t), 't': t}}))[1].t FROM benchmark"""
+BM25_GATE = f"""WITH {_BM25.replace(_ITEMS, _GATED)} SELECT b.query_id, r.doc_id, round_even(coalesce(r.score, 0), 4) AS score, round_even(coalesce(confidence, 0), 3) AS confidence,
   r.doc_id IS NOT NULL AND coalesce(confidence, 0) >= 3.6 AS shown,
   CASE WHEN r.doc_id IS NULL THEN 'no candidates' WHEN coalesce(confidence, 0) >= 3.6 THEN 'shown' ELSE printf('confidence %.3f < threshold 3.600', coalesce(confidence, 0)::DOUBLE) END AS reason
-FROM benchmark b LEFT JOIN ranked r ON r.query_id = b.item_id AND r.rank = 1 LEFT JOIN conf ON conf.query_id = b.item_id"""
+FROM asked b LEFT JOIN ranked r ON r.query_id = b.query_id AND r.rank = 1 LEFT JOIN conf ON conf.query_id = b.query_id"""
 
 
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,31 +222,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 
 
 def nearest_example_vote(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.grouped_max(*_vectors(spark, sf), "label").select("query_id", F.col("owner").alias("label"), F.round("score", 6).alias("score"))
+    return dense.grouped(*_vectors(spark, sf), "label").select("query_id", F.col("owner").alias("label"), F.round("score", 6).alias("score"))
 
 
 NEAREST_EXAMPLE_VOTE = f"""WITH {_VECTORS} SELECT q.vec_id AS query_id, e.label::BIGINT AS label, round(greatest(max(CASE WHEN q.vec_id = e.vec_id THEN -1 ELSE {_cos('q.v', 'e.v')} END), 0), 6) AS score
 FROM q, e GROUP BY q.vec_id, e.label"""
 
 
-def holdout_exclusion(spark: SparkSession, sf: str) -> DataFrame:
-    from rankloom.operators.evaluation import without_held_out
-
-    return without_held_out(_docs(spark, sf), _read(spark, sf, "conversations").select("text").unionByName(_asked(spark, sf).select("text"))).select("doc_id")
-
-
-HOLDOUT_EXCLUSION = "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark) h WHERE h.text = d.text)"
-
-
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     members = [_saturated(spark, sf), dense.topk(*_hashed(spark, sf), 50).select("query_id", "doc_id", "score")]
     return rank.fused(members, K).select("query_id", "doc_id", F.round("rrf", 6).alias("rrf"), F.round("score", 4).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 RRF_HYBRID = f"""WITH {_BM25}, {_HASHED}, hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hs),
-l AS (SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, score, rank FROM hr WHERE rank <= 50),
-f AS (SELECT query_id, doc_id, sum(1 / (60 + rank)::DOUBLE) AS rrf, greatest(max(score), 0) AS score FROM l GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, doc_id)::INT AS rank FROM f)
+l AS (SELECT query_id, doc_id, score, rank, rank AS met FROM ranked WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, score, rank, 1000 + rank FROM hr WHERE rank <= 50),
+f AS (SELECT query_id, doc_id, sum(1 / (60 + rank)::DOUBLE) AS rrf, greatest(max(score), 0) AS score, min(met) AS met FROM l GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, met)::INT AS rank FROM f)
 SELECT query_id, doc_id, round(rrf, 6) AS rrf, round(score, 4) AS score, rank FROM r WHERE rank <= 10"""
 
 
@@ -238,28 +251,6 @@ l AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 50 UNION ALL SELEC
 SELECT query_id, doc_id, sum(50 - rank)::BIGINT AS points FROM l GROUP BY ALL"""
 
 
-def rank_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    ranks = metrics.gold_ranks(_gold(spark, sf), rank.ranked(_saturated(spark, sf), K))
-    m = metrics.rank_metrics(ranks, K)
-    return m.select(*[F.round(c, 6).alias(c) for c in m.columns if c != "n_queries"], "n_queries")
-
-
-_METRICS = f"""{_BM25}, gr AS (SELECT g.query_id, min(CASE WHEN rank <= 10 THEN rank END) AS rank FROM gold g LEFT JOIN ranked r USING (query_id, doc_id) GROUP BY g.query_id),
-m AS (SELECT avg(coalesce((rank = 1)::INT, 0)::DOUBLE) AS precision_at_1, avg((rank IS NOT NULL)::INT::DOUBLE) AS recall_at_k, avg(coalesce(1 / rank::DOUBLE, 0)) AS mrr,
-      avg(coalesce(1 / log2(rank + 1), 0)) AS ndcg_at_k, count(*) AS n_queries FROM gr)"""
-RANK_METRICS = f"WITH {_METRICS} SELECT round(precision_at_1, 6) AS precision_at_1, round(recall_at_k, 6) AS recall_at_k, round(mrr, 6) AS mrr, round(ndcg_at_k, 6) AS ndcg_at_k, n_queries FROM m"
-
-
-def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    ranks = metrics.gold_ranks(_gold(spark, sf), rank.ranked(_saturated(spark, sf), K))
-    row = metrics.rank_metrics(ranks, K).withColumn("method", F.lit("B1")).withColumn("gate_auroc", F.lit(None).cast("double"))
-    return metrics.leaderboard(row)
-
-
-LEADERBOARD = f"""WITH {_METRICS} SELECT 'B1' AS method, metric, CASE WHEN number IS NULL THEN 'n/a' ELSE printf('%.3f', number) END AS value FROM (
-SELECT unnest(['precision_at_1', 'recall_at_k', 'mrr', 'ndcg_at_k', 'n_queries', 'gate_auroc']) AS metric, unnest([precision_at_1, recall_at_k, mrr, ndcg_at_k, n_queries::DOUBLE, NULL]) AS number FROM m)"""
-
-
 def gate_auroc(spark: SparkSession, sf: str) -> DataFrame:
     seen = _observed(spark, sf).select(F.round("confidence", 9).alias("score"), F.col("correct").alias("label"))
     return metrics.auroc(seen).crossJoin(metrics.auprc(seen)).select(F.round("auroc", 4).alias("auroc"), F.round("auprc", 4).alias("auprc"))
@@ -328,50 +319,37 @@ RELIABILITY_BINS = f"""WITH {_BM25}, o AS (SELECT round(confidence, 6) / (round(
 SELECT least(floor(p * 10), 9)::INT AS bin, count(*) AS n, round(avg(p), 5) AS mean_probability, round(avg(correct::DOUBLE), 5) AS accuracy FROM o GROUP BY 1"""
 
 
-def abstention_scores(spark: SparkSession, sf: str) -> DataFrame:
-    seen = _observed(spark, sf).withColumn("shown", (F.round("confidence", 9) >= g.THRESHOLD).cast("int"))
-    m = metrics.abstention(seen)
-    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
-
-
-ABSTENTION_SCORES = f"""WITH {_BM25}, o AS (SELECT (round(confidence, 9) >= 3.6)::INT AS shown, correct FROM observed), s AS (SELECT sum(shown * correct)::DOUBLE AS tp, sum(shown)::DOUBLE AS s, sum(correct)::DOUBLE AS c, count(*)::DOUBLE AS n FROM o)
-SELECT round(tp / nullif(s, 0), 6) AS precision, round(tp / nullif(c, 0), 6) AS recall, round(2 * tp / nullif(s + c, 0), 6) AS f1, round((tp - (s - tp) - 0.2::DOUBLE * (n - s)) / n, 6) AS utility FROM s"""
-
-
-def url_readable_target(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "pages").select("page_id", tx.readable_target(F.col("url")).alias("target"))
-
-
-URL_READABLE_TARGET = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*:', ''), '^/+|/+$', '', 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(t, '([^/]*)$', 1), '(?s)[#?].*', ''), '\.[A-Za-z0-9]{1,5}$', '') AS t FROM a),
-c AS (SELECT page_id, trim(translate(t, '_-', '  ')) AS t FROM b)
-SELECT page_id, CASE WHEN regexp_matches(t, '^[0-9a-fA-F]{8,}$') OR NOT regexp_matches(t, '[A-Za-z]{2}') THEN '' ELSE t END AS target FROM c"""
+def _calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, confidence, correct) with confidences rounded, so that calibration sees equal numbers in any engine."""
+    return _observed(spark, sf).withColumn("confidence", F.round("confidence", 6))
 
 
-def heading_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    t = tx.without_keyword(F.trim("text"))
-    t = F.regexp_replace(F.regexp_replace(t, tx.PRIORITY, ""), tx.TIMESTAMP, " ")
-    t = F.regexp_replace(t, tx.LINK_WITH_TEXT, "$1")
-    return _read(spark, sf, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(t, r"[\t\n\x0B\f\r ]+", " ")).alias("title"), tx.keyword(F.trim("text")).alias("keyword"))
-
-
-HEADING_CLEANUP = r"""WITH a AS (SELECT conv_id, turn, trim(text) AS t FROM conversations),
-b AS (SELECT conv_id, turn, t AS raw, regexp_replace(regexp_replace(regexp_replace(t, '^(TODO|NEXT|INPR|WAIT|MAYB|DONE)(\s+|$)', ''), '^\[#[A-Za-z]\]\s*', ''), '[<\[][0-9]{4}-[0-9]{2}-[0-9]{2}[^>\]]*[>\]]', ' ', 'g') AS t FROM a)
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(t, '\[\[[^\]]*?\]\[([^\]]+)\]\]', '\1', 'g'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS title,
-  regexp_extract(raw, '^(TODO|NEXT|INPR|WAIT|MAYB|DONE)(?:\s|$)', 1) AS keyword FROM b"""
+def platt_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    seen = _calibrated(spark, sf)
+    return seen.select("query_id", F.round(g.platt(seen, 0.5).gauge(F.col("confidence")), 4).alias("probability"))
 
 
-def normalized_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "conversations").select("conv_id", "turn", tx.normalized(F.col("text")).alias("title"))
+#: Newton's steps on the sum of losses and half the squared slope.
+PLATT_CALIBRATION = f"""WITH RECURSIVE {_BM25}, o AS MATERIALIZED (SELECT query_id, round(confidence, 6)::DOUBLE AS x, correct::DOUBLE AS y FROM observed), xs AS MATERIALIZED (SELECT list(x) AS xs, list(y) AS ys FROM o),
+newton(i, a, b) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+    SELECT i, a, b, a + list_sum(list_transform(range(1, len(xs) + 1), lambda k: (1 / (1 + exp(-(a * xs[k] + b))) - ys[k]) * xs[k])) AS ga, list_sum(list_transform(range(1, len(xs) + 1), lambda k: 1 / (1 + exp(-(a * xs[k] + b))) - ys[k])) AS gb,
+      1 + list_sum(list_transform(xs, lambda x: x * x * exp(-(a * x + b)) / (1 + exp(-(a * x + b))) ** 2)) AS haa, list_sum(list_transform(xs, lambda x: x * exp(-(a * x + b)) / (1 + exp(-(a * x + b))) ** 2)) AS hab,
+      list_sum(list_transform(xs, lambda x: exp(-(a * x + b)) / (1 + exp(-(a * x + b))) ** 2)) AS hbb FROM newton, xs WHERE i < 30))
+SELECT query_id, round(1 / (1 + exp(-(a * x + b))), 4) AS probability FROM o, newton WHERE i = 30"""
 
 
-def platt_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    seen = _observed(spark, sf)
-    return seen.select("query_id", F.round(g.platt(seen, 0.5).gauge(F.col("confidence")), 6).alias("probability"))
+def isotonic_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    seen = g.isotonic(_calibrated(spark, sf)).distinct()
+    return seen.select("confidence", F.round("probability", 6).alias("probability"))
 
 
-def isotonic_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    return g.isotonic(_observed(spark, sf))
+#: The largest over starts up to here of the smallest over ends from here of the mean between them.
+ISOTONIC_CALIBRATION = f"""WITH {_BM25}, t AS (SELECT round(confidence, 6) AS x, sum(correct) AS s, count(*) AS n FROM observed GROUP BY 1), c AS (SELECT row_number() OVER (ORDER BY x) AS i, * FROM t),
+m AS (SELECT a.i AS i, b.i AS j, sum(k.s) / sum(k.n)::DOUBLE AS mean FROM c a JOIN c b ON a.i <= b.i JOIN c k ON k.i BETWEEN a.i AND b.i GROUP BY ALL),
+l AS (SELECT c.i AS at, m.i, min(mean) AS low FROM c JOIN m ON m.i <= c.i AND m.j >= c.i GROUP BY ALL)
+SELECT c.x AS confidence, round(max(low), 6) AS probability FROM c JOIN l ON l.at = c.i GROUP BY c.x"""
 
 
 def quantized_vectors(spark: SparkSession, sf: str) -> DataFrame:

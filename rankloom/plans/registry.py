@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries as q
+from . import cases, described, design, queries as q
 
 _NAMES = (
     "bm25_topk", "token_frequencies", "bm25_saturated_confidence", "bm25_gate", "tfidf_topk", "dense_cosine_topk", "dense_field_weighted", "dense_confidence",
-    "hashed_dense_topk", "quality_prior_rerank", "nearest_example_vote", "holdout_exclusion", "rrf_hybrid", "borda_committee", "rank_metrics", "leaderboard",
-    "gate_auroc", "precision_coverage", "latency_percentiles", "poor_match_suppression", "margin_entropy", "agreement", "reliability_bins", "abstention_scores",
-    "url_readable_target", "heading_cleanup", "normalized_text", "platt_calibration", "isotonic_calibration", "quantized_vectors",
+    "hashed_dense_topk", "quality_prior_rerank", "nearest_example_vote", "rrf_hybrid", "borda_committee", 
+    "gate_auroc", "precision_coverage", "latency_percentiles", "poor_match_suppression", "margin_entropy", "agreement", "reliability_bins", 
+    "platt_calibration", "isotonic_calibration", "quantized_vectors",
 )
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(q, n) for n in _NAMES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(q, n) for n in _NAMES} | described.QUERIES | cases.QUERIES | design.QUERIES
 #: back-references, look-behinds and fitted models have no SQL form in the comparison engine
-ORACLE: dict[str, str] = {n: getattr(q, n.upper()) for n in _NAMES if hasattr(q, n.upper())}
+ORACLE: dict[str, str] = {n: getattr(q, n.upper()) for n in _NAMES if hasattr(q, n.upper())} | described.ORACLE | cases.ORACLE | design.ORACLE

@@ -8,7 +8,7 @@ from rankloom.functions import text as tx
 
 LISTS = ("visual_concepts", "task_intents", "example_tasks", "poor_matches")
 DESCRIPTION = T.StructType(
-    [T.StructField("icon_usefulness", T.IntegerType()), T.StructField("discard", T.BooleanType())]
+    [T.StructField("icon_usefulness", T.DoubleType()), T.StructField("discard", T.BooleanType())]
     + [T.StructField(c, T.ArrayType(T.StringType())) for c in LISTS] + [T.StructField("reasoning", T.StringType())]
 )
 
@@ -34,7 +34,7 @@ def descriptions(spark: SparkSession, folder: str, keep_discarded: bool = False,
         raw = files.schema(DESCRIPTION).json(folder).select("*", "_metadata.file_name")
     kept = raw if keep_discarded else raw.where(~F.coalesce("discard", F.lit(False)))
     return kept.select(
-        F.regexp_replace("file_name", r"\.json$", "").alias("name"), (F.coalesce("icon_usefulness", F.lit(0)) / 10.0).alias("prior"),
+        F.regexp_replace("file_name", r"\.json$", "").alias("name"), (F.coalesce("icon_usefulness", F.lit(0.0)) / 10.0).alias("prior"),
         *[clean_list(F.col(c)).alias(c) for c in LISTS], F.coalesce("reasoning", F.lit("")).alias("reasoning"))
 
 
@@ -70,17 +70,48 @@ def outline_tasks(spark: SparkSession, folder: str, suffix: str = "org") -> Data
 
 def tasks(lines: DataFrame) -> DataFrame:
     """Task headings among (file, line, raw)."""
-    heading = lines.withColumn("rest", F.regexp_extract("raw", tx.HEADING, 2)).where(F.col("raw").rlike(tx.HEADING))
-    words = heading.withColumn("keyword", tx.keyword(tx.strip(F.col("rest")))).where("keyword <> ''")
-    body = words.withColumn("body", tx.without_keyword(tx.strip(F.col("rest"))))
-    parts = body.withColumns({"tags": tx.tags(F.col("body")), "title": tx.normalized(tx.without_tags(F.col("body")))})
-    return parts.select("file", "line", "title", "tags", tx.query_text(F.col("title"), F.col("tags")).alias("text")).where("text <> ''")
+    parsed = lines.select("file", "line", tx.heading(F.col("raw")).alias("h")).where("h is not null")
+    return parsed.select("file", "line", "h.title", "h.tags", "h.text")
+
+
+def write_tasks(tasks: DataFrame, path: str) -> None:
+    """JSON lines of file, title, tags and text."""
+    tasks.select("file", "title", "tags", "text").write.json(path)
 
 
 def codepoints(spark: SparkSession, path: str) -> DataFrame:
-    """(name, codepoint) of lines with exactly two words, the second hexadecimal."""
-    words = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w")).where((F.size("w") == 2) & F.col("w")[1].rlike("^[0-9a-fA-F]+$"))
-    return words.select(F.col("w")[0].alias("name"), F.conv(F.col("w")[1], 16, 10).cast("int").alias("codepoint"))
+    """(name, codepoint, char) of lines with exactly two words, the second hexadecimal."""
+    words = spark.read.text(path).select(F.split(tx.strip(F.col("value")), rf"(?U){tx.WS}+").alias("w")).where((F.size("w") == 2) & F.col("w")[1].rlike("^[0-9a-fA-F]{1,6}$"))
+    return words.select(F.col("w")[0].alias("name"), F.conv(F.col("w")[1], 16, 10).cast("int").alias("codepoint"), tx.codepoint_char(F.col("w")[1]).alias("char"))
+
+
+METADATA = "array<struct<name:string,tags:array<string>,categories:array<string>,popularity:int>>"
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(name, tags, categories, popularity) of a JSON answer {"icons": [...]} in which anything may stand before the first brace; the last of repeated names."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"(?s)(\{.*)", 1).alias("j"))
+    rows = whole.select(F.posexplode(F.from_json("j", f"icons {METADATA}")["icons"]).alias("place", "m")).select("place", "m.*")
+    return rows.groupBy("name").agg(F.max_by(F.struct("tags", "categories", "popularity"), "place").alias("m")).select("name", "m.*")
+
+
+def build_catalog(points: DataFrame, described: DataFrame) -> DataFrame:
+    """(name, codepoint, char, tags, categories, popularity): every code point, with what is known of it; hexadecimal of four places at least."""
+    known = points.dropDuplicates(["name"]).join(described, "name", "left")
+    none = F.array().cast("array<string>")
+    return known.select(
+        "name", F.lower(F.format_string("%04x", "codepoint")).alias("codepoint"), "char",
+        F.coalesce("tags", none).alias("tags"), F.coalesce("categories", none).alias("categories"), F.coalesce("popularity", F.lit(0)).alias("popularity"))
+
+
+def untagged(catalog_rows: DataFrame) -> DataFrame:
+    """One row: symbols, and those without tags."""
+    return catalog_rows.agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.size("tags") == 0).alias("untagged"))
+
+
+def write_catalog(catalog_rows: DataFrame, path: str) -> None:
+    """JSON lines by name."""
+    catalog_rows.orderBy("name").write.json(path)
 
 
 def json_list(spark: SparkSession, text: str) -> DataFrame:
@@ -98,8 +129,9 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_decisions(decisions: DataFrame, path: str) -> None:
-    """JSON lines of task and shown document; repeated tasks collapse."""
-    decisions.select("text", F.when("shown", F.col("doc_id")).alias("doc_id")).dropDuplicates(["text"]).write.json(path)
+    """JSON lines of task and shown document; of repeated tasks, the decision of the last query counts."""
+    last = decisions.groupBy("text").agg(F.max_by(F.struct(F.when(F.col("shown"), F.col("doc_id")).alias("doc_id")), "query_id").alias("d"))
+    last.select("text", "d.doc_id").write.json(path)
 
 
 def write_results(metrics: DataFrame, path: str, **config: str) -> None:
@@ -113,9 +145,9 @@ def missing_outputs(wanted: DataFrame, done: DataFrame, key: str = "name") -> Da
 
 
 def invalid_descriptions(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, problems) of files that lack a required field or hold a wrong type."""
+    """(name, problems) of files that lack a required field or hold a wrong type: a whole number or boolean, a boolean, lists; reasoning may be anything."""
     v = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(folder).select("v", "_metadata.file_name")
-    kinds = {"icon_usefulness": "^BIGINT|^BOOLEAN", "discard": "^BOOLEAN", **dict.fromkeys(LISTS, "^ARRAY"), "reasoning": "^STRING"}
+    kinds = {"icon_usefulness": "^(BIGINT|BOOLEAN)$", "discard": "^BOOLEAN$", **dict.fromkeys(LISTS, "^ARRAY"), "reasoning": "."}
     of = lambda c: F.schema_of_variant(F.try_variant_get("v", f"$.{c}", "variant"))
     bad = F.array_compact(F.array(*[F.when(F.coalesce(~of(c).rlike(k), F.lit(True)), F.lit(c)) for c, k in kinds.items()]))
     return v.select(F.regexp_replace("file_name", r"\.json$", "").alias("name"), bad.alias("problems")).where(F.size("problems") > 0)

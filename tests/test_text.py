@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
+from rankloom.plans import cases
 from rankloom.sources import readers
 
 CASES = [
@@ -30,6 +31,14 @@ def test_readable_target(spark, target, want):
     assert spark.createDataFrame([(target,)], "t string").select(tx.readable_target(F.col("t")).alias("r")).first()["r"] == want
 
 
+def test_written_out_cases(spark):
+    lines = spark.createDataFrame([("f", i, c[0]) for i, c in enumerate(cases.HEADINGS)], "file string, line int, raw string")
+    got = {r.line: (r.title, ",".join(r.tags), r.text) for r in readers.tasks(lines).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases.HEADINGS) if c[3] is not None}
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases.TARGETS)], "i int, t string").select("i", tx.readable_target(F.col("t")).alias("w"))
+    assert {r.i: r.w for r in rows.collect()} == {i: w for i, (_, w) in enumerate(cases.TARGETS)}
+
+
 def test_tokens(spark):
     assert spark.createDataFrame([("Día 3, ok_x",), (None,)], "t string").select(tx.tokens(F.col("t")).alias("r")).collect()[0]["r"] == ["d", "a", "3", "ok", "x"]
 
