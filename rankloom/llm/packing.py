@@ -12,6 +12,7 @@ length keep input order within a group; a null ``doc_id`` is carried through; an
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 import zlib
@@ -29,8 +30,8 @@ CAPACITY = 1024
 END = 2
 #: Most pieces that one task packs at a time.
 GROUP_PIECES = 1 << 16
-#: Most exchanges after the first packing.
-ROUNDS = 3
+#: Bits of a sequence's number that count bins in a group, and groups in a level.
+BIN_BITS, GROUP_BITS = 18, 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,54 +40,39 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, exactly those of the tokenizer file.
 
     The byte-level pre-tokenizer only ever joins a space to what follows it, so a text falls apart before each space
-    and the parts can be remembered. Texts where that doesn't hold (a space between white space, or after some at the end), with special tokens or with characters outside Latin, where two libraries' Unicode tables may differ, go to
-    the tokenizer whole. Parts not yet seen are encoded from the rank file of the same vocabulary.
+    and the parts can be remembered. Texts where that doesn't hold (a space between white space, or after some at the end) or with special tokens, go to
+    the tokenizer whole. Parts not yet seen are encoded by the tokenizer too, each on its own.
     """
 
     #: A space amid white space: what ends up with it depends on more than the part it begins.
     _AMID = re.compile(r" (?<=\s )(?:\s|\Z)")
-    _FAR = re.compile("[^\x00-\u024f]")
     #: Parts remembered by a worker before it starts anew.
     PARTS = 600_000
 
-    def __init__(self, tokenizer: str, ranks: str, pattern: str) -> None:
-        import base64
-
-        import tiktoken
+    def __init__(self, tokenizer: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.tokenizer = whole = Tokenizer.from_file(tokenizer)
         assert sys.byteorder == "little"
+        self.encode = encode = lambda text: array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
         class Parts(dict):
             def __missing__(self, part: str) -> bytes:
-                ids = self[part] = array("I", encode(" " + part)).tobytes()
+                ids = self[part] = encode(" " + part)
                 return ids
 
         self.parts = Parts()
-        self.encode = encode
-
-    def _plain(self, text: str) -> bool:
-        try:
-            text.encode("latin-1")  # quick to tell for nearly all texts
-        except UnicodeEncodeError:
-            if self._FAR.search(text):
-                return False
-        return "<|endoftext|>" not in text and not self._AMID.search(text)
 
     def ids(self, text: str) -> bytes:
-        if not self._plain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if "<|endoftext|>" in text or self._AMID.search(text):
+            return self.encode(text)
         if len(self.parts) > self.PARTS:
             self.parts.clear()
         first, *rest = text.split(" ")
-        return np.array(self.encode(first), "<u4").tobytes() + b"".join(map(self.parts.__getitem__, rest))
+        return self.encode(first) + b"".join(map(self.parts.__getitem__, rest))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -95,16 +81,15 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row of ``docs``."""
     arrow_rows(docs.sparkSession, 1000)
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer, ranks, pattern)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(*key)
-        encoder = _ENCODERS[key]
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = Encoder(tokenizer)
+        encoder = _ENCODERS[tokenizer]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -171,7 +156,7 @@ def _pack(items: DataFrame, groups: int, level: int, capacity: int) -> DataFrame
         bins, offsets, n = best_fit(lengths, capacity)
         used = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
         out = pdf[columns].copy()
-        out["sequence_id"] = ((level * (1 << 24) + int(key[0])) << 33) + 2 * bins + 1
+        out["sequence_id"] = (((level << GROUP_BITS) + int(key[0])) << BIN_BITS) + 2 * bins + 1
         out["offset"], out["waste"] = offsets, capacity - used[bins]
         out["gap"] = n - lower_bound(lengths, capacity)
         return out
@@ -180,8 +165,8 @@ def _pack(items: DataFrame, groups: int, level: int, capacity: int) -> DataFrame
     return table(dealt.groupBy("g").applyInPandas(run, f"{PIECES}, sequence_id long, offset long, waste long, gap long"), f"packed-{level}")
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """``found`` (materialised pieces) with sequence_id and offset."""
+def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """``found`` (materialised pieces) with sequence_id and offset. Groups with gaps exchange pieces until that saves no sequence, or for ``rounds`` rounds."""
     whole = found.where(F.col("length") == capacity)
     out = [whole.select("*", (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     items = found.where(F.col("length") < capacity)
@@ -189,9 +174,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, group
     if not n:
         return out[0]
     packed = _pack(items, max(1, -(-n // group_pieces)), 0, capacity)
-    for level in range(1, rounds + 1):
+    for level in itertools.count(1):
+        if rounds is not None and level > rounds:
+            break
         open_ = packed.where("gap > 0 and waste > 0")
-        n, groups, bins = open_.select(F.count(F.lit(1)), F.count_distinct(F.expr("sequence_id >> 33")), F.count_distinct("sequence_id")).first()
+        n, groups, bins = open_.select(F.count(F.lit(1)), F.count_distinct(F.shiftright("sequence_id", BIN_BITS)), F.count_distinct("sequence_id")).first()
         if groups < 2:
             break
         again = _pack(open_, max(1, -(-n // group_pieces)), level, capacity)
@@ -207,6 +194,6 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, group
     return result
 
 
-def best_fit_pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text, ...) with the sequence and offset of each."""
-    return pack(table(pieces(docs, tokenizer, ranks, pattern, capacity), "pieces"), capacity)
+    return pack(table(pieces(docs, tokenizer, capacity), "pieces"), capacity)

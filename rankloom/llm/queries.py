@@ -146,7 +146,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from rankloom.llm import packing
 
 from .samples import documents, frame
 
-FILES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+FILES = (public_tokenizers.path("byte_bpe_50k.json"),)
 
 
 @pytest.fixture(scope="module")
