@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,7 +46,8 @@ HEADERS = (
 def _open(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    # Hadoop's names of the same store
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
 
 
 def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
