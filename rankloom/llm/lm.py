@@ -3,12 +3,12 @@
 Counts: the words of every training document are counted over the whole corpus, in packets of distinct words a chunk.
 They give the unigram base, and the vocabulary: the commonest words and the end token, all others share one entry.
 
-Model: a gated recurrent unit over the vocabulary, with the output softmax factored into classes of about the square
-root of the vocabulary; a word outside it is the shared entry's probability times its smoothed share among such words.
+Model: a gated recurrent unit over the vocabulary, with the output softmax factored into classes, narrow ones for frequent
+words; a word outside it is the shared entry's probability times its smoothed share among such words.
 It is trained in numpy by truncated backpropagation: batches of documents are walked in windows, the state is carried
 from window to window and gradients stop at window borders. Training is spread: in each round every task improves the
 common parameters on its own training documents of that round (each training document is in exactly one round), and the
-results are averaged, weighted by tokens, first on the executors and then on the driver.
+results are averaged, weighted by tokens, in a tree of which the driver sees the last few.
 
 Scoring walks many documents side by side, the state carried over window borders, to the end of each document.
 
@@ -19,6 +19,7 @@ counts are 0 and the model is the untrained one; an empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,14 +30,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import chunks as ch, textblocks as tb
 from .chunks import Chunk
-from .shared import table
+from .shared import remove, table
 
 VOCABULARY = 4096
 HIDDEN = 24
 WINDOW = 32
 ROUNDS = 3
 #: Documents walked side by side in scoring and in training.
-SCORE_ROWS, TRAIN_ROWS = 2048, 64
+SCORE_ROWS, TRAIN_ROWS = 2048, 256
+#: How fast classes widen.
+WIDTH = 2.5
+#: Networks that are averaged at a time.
+FAN_IN = 16
+#: Tokens whose output is computed at a time: what that takes stays in a core's cache.
+BLOCK = 4096
 FOLDS, HELD_OUT = 5, 1
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -73,8 +80,8 @@ class Counts:
     counts: np.ndarray
 
 
-def count(chunks: DataFrame, buckets: int, vocabulary: int) -> tuple[Counts, DataFrame]:
-    """Totals of the training documents, and replies that tell each chunk the counts of all its distinct words."""
+def count(chunks: DataFrame, buckets: int, vocabulary: int) -> tuple[Counts, DataFrame, DataFrame]:
+    """Totals of the training documents, the written packets, and replies that tell each chunk the counts of all its distinct words."""
 
     def send(chunk: Chunk, _: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         h, owner, n = tokens(chunk)
@@ -113,7 +120,16 @@ def count(chunks: DataFrame, buckets: int, vocabulary: int) -> tuple[Counts, Dat
             yield cid, ch.pack(own, np.minimum(n[np.searchsorted(v, own)], np.iinfo(np.int64).max))
 
     replies = ch.over_buckets(sent.where("bucket >= 0"), reply, ch.REPLIES)
-    return Counts(n_tokens + n_ends, n_words + (n_ends > 0), n_ends, *best), replies
+    return Counts(n_tokens + n_ends, n_words + (n_ends > 0), n_ends, *best), sent, replies
+
+
+def class_starts(entries: int) -> np.ndarray:
+    """Where each class of entries starts, and the end. Entries come by frequency; with widths that grow as the root of the
+    place, frequent words lie in narrow classes, which for words that follow Zipf's law costs least."""
+    starts = [0]
+    while starts[-1] < entries:
+        starts.append(min(entries, starts[-1] + math.ceil(WIDTH * math.sqrt(starts[-1] + 1))))
+    return np.array(starts)
 
 
 class Network:
@@ -121,19 +137,17 @@ class Network:
 
     def __init__(self, entries: int, hidden: int = HIDDEN, seed: int = 5, weights: np.ndarray | None = None) -> None:
         self.entries, self.hidden = entries, hidden
-        self.width = max(1, int(np.ceil(np.sqrt(entries))))
-        self.classes = -(-entries // self.width)
+        self.starts = class_starts(entries)
+        self.classes = len(self.starts) - 1
+        self.class_of = np.repeat(np.arange(self.classes), np.diff(self.starts))
         rng = np.random.default_rng(seed)
         draw = lambda *shape, s=0.1: rng.normal(0, s, shape).astype(np.float32)
         h = hidden
         self.p = {
             "x": draw(entries, 3 * h), "u": draw(h, 3 * h, s=1 / np.sqrt(h)), "b": np.zeros(3 * h, np.float32),
             "c": draw(h, self.classes), "cb": np.zeros(self.classes, np.float32),
-            "w": draw(self.classes, h, self.width), "wb": np.zeros((self.classes, self.width), np.float32),
+            "w": draw(entries, h), "wb": np.zeros(entries, np.float32),
         }
-        # places of the last class beyond the entries
-        self.mask = np.zeros((self.classes, self.width), np.float32)
-        self.mask.reshape(-1)[entries:] = -1e9
         if weights is not None:
             at = 0
             for k, v in self.p.items():
@@ -145,40 +159,61 @@ class Network:
 
     def unigram(self, counts: np.ndarray) -> None:
         """Starts the output biases at the entries' smoothed shares."""
-        full = np.full(self.classes * self.width, 1e-9)
-        full[: self.entries] = counts + 0.5
-        full = full.reshape(self.classes, self.width)
-        self.p["cb"] = np.log(full.sum(axis=1) / full.sum()).astype(np.float32)
-        self.p["wb"] = np.log(full / full.sum(axis=1, keepdims=True)).astype(np.float32)
-
-    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        full = np.asarray(counts, float) + 0.5
+        of_class = np.add.reduceat(full, self.starts[:-1])
+        self.p["cb"] = np.log(of_class / full.sum()).astype(np.float32)
+        self.p["wb"] = np.log(full / of_class[self.class_of]).astype(np.float32)
+
+    def place(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, place in it) of each entry."""
+        k = self.class_of[target]
+        return k, target - self.starts[k]
+
+    def _gates(self, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(new state, update and reset gates, candidate, what the reset gate multiplies) of what inputs give and states ``h``."""
         n = self.hidden
         u = h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * n] + u[:, : 2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(gates[:, 2 * n :] + r * u[:, 2 * n :])
-        return z * h + (1 - z) * c, z, r, c, u[:, 2 * n :]
+        zr = u[:, : 2 * n] + given[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c = zr[:, n:] * u[:, 2 * n :]
+        c += given[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= zr[:, :n]
+        new += c
+        return new, zr, c, u[:, 2 * n :]
+
+    def step(self, given: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """States after ``h`` and what inputs give."""
+        return self._gates(given, h)[0]
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of the targets' probabilities after states ``h``."""
+        k, place = self.place(target)
         out = np.empty(len(target))
-        for lo in range(0, len(target), 1 << 14):
-            x, t = h[lo : lo + (1 << 14)], target[lo : lo + (1 << 14)]
-            k, place = t // self.width, t % self.width
-            z = x @ self.p["c"] + self.p["cb"]
-            at = np.arange(len(t))
-            first = z[at, k] - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) - z.max(axis=1)
-            second = np.empty(len(t), np.float32)
-            order = np.argsort(k, kind="stable")
-            for cls, sel in zip(*_groups(k, order), strict=True):
-                y = x[sel] @ self.p["w"][cls] + self.p["wb"][cls] + self.mask[cls]
-                top = y.max(axis=1)
-                second[sel] = y[np.arange(len(sel)), place[sel]] - np.log(np.exp(y - top[:, None]).sum(axis=1)) - top
-            out[lo : lo + (1 << 14)] = first + second
+        for lo in range(0, len(target), BLOCK):
+            part = slice(lo, lo + BLOCK)
+            out[part] = _log_shares(h[part] @ self.p["c"], self.p["cb"], k[part])[0]
+        order, cuts = _by_class(k)
+        x, place = h[order], place[order]
+        second = np.empty(len(target))
+        for cls, a, b in cuts:
+            own = slice(self.starts[cls], self.starts[cls + 1])
+            for lo in range(a, b, BLOCK):
+                part = slice(lo, min(lo + BLOCK, b))
+                second[part] = _log_shares(x[part] @ self.p["w"][own].T, self.p["wb"][own], place[part])[0]
+        out[order] += second
         return out
 
-    def train(self, docs: list[np.ndarray], rate: float = 0.01, window: int = WINDOW, rows: int = TRAIN_ROWS, seed: int = 3) -> int:
-        """Truncated backpropagation over documents (entries, ended by 0); the number of tokens seen."""
+    def train(self, docs: list[np.ndarray], rate: float = 0.02, window: int = WINDOW, rows: int = TRAIN_ROWS, seed: int = 3) -> int:
+        """Truncated backpropagation over documents (entries, ended by 0); the number of tokens seen.
+
+        Steps grow to their full length at first, and are shorter where less than half of ``rows`` documents are left, so
+        that the end of a very long one moves the network by what it weighs.
+        """
         order = np.random.default_rng(seed).permutation(len(docs))
         docs = [docs[i] for i in order]
         docs = sorted(docs, key=lambda d: -len(d))
@@ -206,61 +241,66 @@ class Network:
                     g = g * min(1.0, 1.0 / (norm + 1e-8))
                     m[k][at_] += 0.1 * (g - m[k][at_])
                     s[k][at_] += 0.01 * (g * g - s[k][at_])
-                    self.p[k][at_] -= (rate / (1 - 0.9**t) * m[k][at_] / (np.sqrt(s[k][at_] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                    self.p[k][at_] -= (rate * min(1.0, t / 10, 2 * n / (rows * window)) / (1 - 0.9**t) * m[k][at_] / (np.sqrt(s[k][at_] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
         return seen
 
     def _window(self, target: np.ndarray, real: np.ndarray, h: np.ndarray, last: np.ndarray):
-        steps, n = len(target), self.hidden
-        inputs, saved = [], []
-        state = h
+        steps, rows, n = *target.shape, self.hidden
+        inputs = np.concatenate([last[None], target[:-1]])
+        used, at_used = np.unique(inputs, return_inverse=True)
+        given = (self.p["x"][used] + self.p["b"])[at_used.ravel()].reshape(steps, rows, 3 * n)
+        kind = given.dtype
+        states = np.empty((steps + 1, rows, n), kind)
+        states[0] = h
+        zr, cu = np.empty((steps, rows, 2 * n), kind), np.empty((steps, rows, 2 * n), kind)
         for i in range(steps):
-            x = last if i == 0 else target[i - 1]
-            inputs.append(x)
-            new, z, r, c, uc = self.step(self.p["x"][x] + self.p["b"], state)
-            saved.append((state, z, r, c, uc))
-            state = new
-            saved[-1] += (new,)
-        hs = np.concatenate([v[5] for v in saved])
-        t, w = target.ravel(), real.ravel()
+            states[i + 1], zr[i], cu[i, :, :n], cu[i, :, n:] = self._gates(given[i], states[i])
+        hs = states[1:].reshape(-1, n)
+        k, place = self.place(target.ravel())
+        w = real.ravel()
         total = max(1, int(w.sum()))
-        g = {k: np.zeros_like(v) for k, v in self.p.items() if k != "x"}
-        used, at_used = np.unique(np.stack(inputs), return_inverse=True)
-        at_used = at_used.reshape(steps, -1)
-        g["x"] = np.zeros((len(used), 3 * n), np.float32)
-        k, place, at = t // self.width, t % self.width, np.arange(len(t))
-        y = hs @ self.p["c"] + self.p["cb"]
-        y = np.exp(y - y.max(axis=1, keepdims=True))
-        y /= y.sum(axis=1, keepdims=True)
-        y[at, k] -= 1
-        y *= (w / total)[:, None]
-        g["c"], g["cb"] = (hs.T @ y).astype(np.float32), y.sum(axis=0).astype(np.float32)
+        g = {"w": np.zeros_like(self.p["w"]), "wb": np.zeros_like(self.p["wb"])}
+        y = _log_shares(hs @ self.p["c"], self.p["cb"], k)[1]
+        y[np.arange(len(k)), k] -= 1
+        y *= (w / total).astype(kind)[:, None]
+        g["c"], g["cb"] = hs.T @ y, y.sum(axis=0)
         dh = y @ self.p["c"].T
-        for cls, sel in zip(*_groups(k, np.argsort(k, kind="stable")), strict=True):
-            sel = sel[w[sel]]
-            if not len(sel):
-                continue
-            q = hs[sel] @ self.p["w"][cls] + self.p["wb"][cls] + self.mask[cls]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(sel)), place[sel]] -= 1
+        own = np.flatnonzero(w)
+        order, cuts = _by_class(k[own])
+        own = own[order]
+        x, place, back = hs[own], place[own], np.empty((len(own), n), kind)
+        for cls, a, b in cuts:
+            at = slice(self.starts[cls], self.starts[cls + 1])
+            q = _log_shares(x[a:b] @ self.p["w"][at].T, self.p["wb"][at], place[a:b])[1]
+            q[np.arange(b - a), place[a:b]] -= 1
             q /= total
-            g["w"][cls], g["wb"][cls] = hs[sel].T @ q, q.sum(axis=0)
-            dh[sel] += q @ self.p["w"][cls].T
-        dh = dh.reshape(steps, -1, n)
+            g["w"][at], g["wb"][at] = q.T @ x[a:b], q.sum(axis=0)
+            back[a:b] = q @ self.p["w"][at]
+        dh[own] += back
+        dh = dh.reshape(steps, rows, n)
+        # of candidate c and gates z, r, all at once: the factors that don't depend on what comes back
+        z, r, c, uc = zr[:, :, :n], zr[:, :, n:], cu[:, :, :n], cu[:, :, n:]
+        f_c = (1 - z) * (1 - c * c)
+        f_z = (states[:-1] - c) * z * (1 - z)
+        f_r = uc * r * (1 - r)
+        gates, dr = np.empty((steps, rows, 3 * n), kind), np.empty((steps, rows, n), kind)
+        ut = np.ascontiguousarray(self.p["u"].T)
         back = np.zeros_like(h)
         for i in range(steps - 1, -1, -1):
-            before, z, r, c, uc, _ = saved[i]
             d = dh[i] + back
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dr = dc * uc * r * (1 - r)
-            gates = np.concatenate([dz, dr, dc], axis=1).astype(np.float32)
-            du = np.concatenate([dz, dr, dc * r], axis=1).astype(np.float32)
-            np.add.at(g["x"], at_used[i], gates)
-            g["b"] += gates.sum(axis=0)
-            g["u"] += before.T @ du
-            back = d * z + du @ self.p["u"].T
-        return {k: (v, used if k == "x" else slice(None)) for k, v in g.items()}, state, target[-1], int(w.sum())
+            dc = d * f_c[i]
+            gates[i, :, :n] = d * f_z[i]
+            gates[i, :, n : 2 * n] = dc * f_r[i]
+            gates[i, :, 2 * n :] = dc
+            np.multiply(dc, r[i], out=dr[i])
+            back = d * z[i] + gates[i, :, : 2 * n] @ ut[: 2 * n] + dr[i] @ ut[2 * n :]
+        gates = gates.reshape(-1, 3 * n)
+        before = states[:-1].reshape(-1, n).T
+        g["u"] = np.concatenate([before @ gates[:, : 2 * n], before @ dr.reshape(-1, n)], axis=1)
+        g["b"] = gates.sum(axis=0)
+        order = np.argsort(at_used.ravel().astype(np.uint16 if len(used) <= 1 << 16 else np.int64), kind="stable")
+        g["x"] = np.add.reduceat(gates[order], np.cumsum(np.bincount(at_used.ravel())) - np.bincount(at_used.ravel()), axis=0)
+        return {k: (v, used if k == "x" else slice(None)) for k, v in g.items()}, states[-1], target[-1], int(w.sum())
 
     def score(self, docs: list[np.ndarray], rows: int = SCORE_ROWS, window: int = WINDOW) -> np.ndarray:
         """Natural log-likelihood of each document (entries, ended by 0); states go on across windows."""
@@ -280,7 +320,7 @@ class Network:
                 for i in range(lo, min(lo + window, int(length[0]))):
                     live = int(np.searchsorted(-length, -i, side="left"))
                     h, last = h[:live], last[:live]
-                    h = self.step(gates_of[last], h)[0]
+                    h = self.step(gates_of[last], h)
                     last = flat[first[:live] + i]
                     hs.append(h)
                     targets.append(last)
@@ -290,11 +330,23 @@ class Network:
         return out
 
 
-def _groups(k: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    if not len(k):
-        return [], []
-    cls, at = np.unique(k[order], return_index=True)
-    return cls.tolist(), np.split(order, at[1:])
+def _log_shares(x: np.ndarray, bias: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logarithm of each row's softmax at its place, the softmax); overwrites ``x``, to which the bias is added first."""
+    x += bias
+    x -= x.max(axis=1, keepdims=True)
+    at = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x /= total[:, None]
+    return at - np.log(total), x
+
+
+def _by_class(k: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order by class, and (class, from, to) of each in it."""
+    order = np.argsort(k.astype(np.uint16), kind="stable")
+    count = np.bincount(k)
+    ends = np.cumsum(count)
+    return order, [(c, int(ends[c] - count[c]), int(ends[c])) for c in np.flatnonzero(count).tolist()]
 
 
 class Vocabulary:
@@ -310,56 +362,107 @@ class Vocabulary:
         return np.where(self.sorted[at] == h, self.order[at] + 2, 1)
 
 
-def _documents(chunk: Chunk, vocabulary: Vocabulary) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(entries of each row with the end, word hashes, their rows, words a row, entries of all words)."""
-    h, owner, n = tokens(chunk)
-    entries = vocabulary.entries(h)
-    docs = [np.append(d, 0) for d in np.split(entries, np.cumsum(n)[:-1])] if chunk.rows else []
-    return docs, h, owner, n, entries
+PREPARED = "cid long, data binary"
+
+
+@dataclass
+class Texts:
+    """The documents of a chunk as entries: ``flat`` with every document's end, ``n`` tokens each; ids, folds and what doesn't depend on the network."""
+
+    ids: pa.Array
+    held_out: np.ndarray
+    train: np.ndarray
+    n: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+    inner: np.ndarray
+    flat: np.ndarray
+
+    def docs(self, rows: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum(self.n)
+        return [self.flat[ends[r] - self.n[r] : ends[r]].astype(np.int64) for r in rows.tolist()]
+
 
+def prepare(chunks: DataFrame, replies: DataFrame, counts: Counts) -> DataFrame:
+    """The corpus as entries of the vocabulary, a row a chunk: texts are cut into words once, and every round and the scoring read this."""
+    share = chunks.sparkSession.sparkContext.broadcast(counts)
 
-def train(chunks: DataFrame, counts: Counts, hidden: int = HIDDEN, rounds: int = ROUNDS) -> Network:
+    def run(chunk: Chunk, blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        counts = share.value
+        inside = int(counts.counts.sum())
+        n_rest, v_rest = counts.tokens - counts.ends - inside, counts.distinct - (counts.ends > 0) - len(counts.words)
+        base_of = lambda c: np.log10((c + 0.5) / (counts.tokens + 0.5 * (counts.distinct + 1)))
+        h, owner, n = tokens(chunk)
+        pairs = [ch.unpack(b) for b in blobs]
+        words = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, _U)
+        count_of = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
+        order = np.argsort(words)
+        at = order[np.searchsorted(words[order], h)] if len(h) else np.zeros(0, np.int64)
+        c = count_of[at]
+        entries = Vocabulary(counts.words).entries(words)[at] if len(words) else np.zeros(0, np.int64)
+        base = np.bincount(owner, weights=base_of(count_of)[at], minlength=chunk.rows) + base_of(counts.ends)
+        known = np.bincount(owner, weights=c > 0, minlength=chunk.rows).astype(np.int64) + (counts.ends > 0)
+        outside = np.log10((c + 0.5) / (n_rest + 0.5 * (v_rest + 1))) * (entries == 1)
+        inner = np.bincount(owner, weights=outside, minlength=chunk.rows)
+        flat = np.zeros(len(h) + chunk.rows, np.uint16 if len(counts.words) + 2 <= 1 << 16 else np.uint32)
+        flat[np.arange(len(h)) + owner] = entries
+        ids = chunk.batch.column("doc_id")
+        held_out, train = held_out_rows(ids)
+        yield chunk.cid, ch.squeeze(ch.pack(ids.is_null().to_numpy(zero_copy_only=False), chunk.ids, held_out, train, n + 1, known, base, inner, flat))
+
+    return table(ch.over_chunks(ch.with_replies(chunks, replies), run, PREPARED), "entries")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts]]:
+    for batch in batches:
+        for cid, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            null, ids, *rest = ch.unpack(ch.expand(blob.as_py()))
+            yield cid, Texts(pa.array(ids, mask=null), *rest)
+
+
+def train(prepared: DataFrame, counts: Counts, hidden: int = HIDDEN, rounds: int = ROUNDS) -> Network:
     entries = len(counts.words) + 2
     rest = max(0, counts.tokens - counts.ends - int(counts.counts.sum()))
     net = Network(entries, hidden)
     net.unigram(np.concatenate([[counts.ends, rest], counts.counts]))
-    spark = chunks.sparkSession
+    spark = prepared.sparkSession
+    trained = "salt int, tokens long, blob binary"
     for k in range(rounds):
-        share = spark.sparkContext.broadcast((net.flat(), counts.words))
+        share = spark.sparkContext.broadcast(net.flat())
 
         def improve(batches: Iterator[pa.RecordBatch], k: int = k, share=share) -> Iterator[pa.RecordBatch]:
-            weights, words = share.value
-            vocabulary, docs = Vocabulary(words), []
-            own, seen = Network(entries, hidden, weights=weights), 0
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    chunk = Chunk(batch.column("cid")[i].as_py(), batch.column("data")[i].as_py())
-                    train_rows = held_out_rows(chunk.batch.column("doc_id"))[1]
-                    pick = [train_rows[r] and zlib.crc32(f"{d}:{chunk.cid}:{r}".encode()) % rounds == k for r, d in enumerate(chunk.ids.tolist())]
-                    if any(pick):
-                        docs += _documents(chunk.some(np.flatnonzero(pick)), vocabulary)[0]
-                    if sum(map(len, docs)) > 400_000:  # a bound on what is held; training goes on with the next ones
-                        seen += own.train(docs)
-                        docs = []
+            own, seen, docs, size, salt = Network(entries, hidden, weights=share.value), 0, [], 0, 0
+            for cid, texts in _texts(batches):
+                # each training document is in one round
+                turn = tb.mix(np.arange(len(texts.n), dtype=_U) ^ tb.mix(np.array([cid], _U))) % _U(rounds)
+                part = texts.docs(np.flatnonzero(texts.train & (turn == k)))
+                docs, size, salt = docs + part, size + sum(map(len, part)), zlib.crc32(f"{cid}:{salt}".encode())
+                if size > 400_000:  # a bound on what is held; training goes on with the next ones
+                    seen, docs, size = seen + own.train(docs), [], 0
             if docs:
                 seen += own.train(docs)
             if seen:
-                yield ch._rows("salt int, tokens long, blob binary", [(zlib.crc32(str(seen).encode()) % 16, seen, own.flat().astype(np.float32).tobytes())])
+                yield ch._rows(trained, [(salt & 0x7FFFFFFF, seen, own.flat().tobytes())])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, seen = None, 0
+            total, seen, salt = None, 0, 0
             for batch in batches:
-                for n, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for s, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     w = np.frombuffer(blob.as_buffer(), np.float32).astype(np.float64) * n
-                    total, seen = w if total is None else total + w, seen + n
+                    total, seen, salt = w if total is None else total + w, seen + n, zlib.crc32(f"{s}:{salt}".encode())
             if seen:
-                yield ch._rows("tokens long, blob binary", [(seen, total.tobytes())])
+                yield ch._rows(trained, [(salt & 0x7FFFFFFF, seen, (total / seen).astype(np.float32).tobytes())])
 
-        improved = chunks.select("cid", "data").mapInArrow(improve, "salt int, tokens long, blob binary")
-        parts = table(improved.repartition(16, "salt").mapInArrow(average, "tokens long, blob binary"), "network")
+        parts = table(prepared.mapInArrow(improve, trained), "network")
+        while (left := parts.count()) > FAN_IN:  # a level of the tree: so many networks to a task, whatever their number
+            fewer = table(parts.repartition(-(-left // FAN_IN), "salt").mapInArrow(average, trained), "network")
+            remove(parts)
+            parts = fewer
         total, seen = 0.0, 0
-        for r in parts.toLocalIterator():  # 16 at most
-            total, seen = total + np.frombuffer(r["blob"], np.float64), seen + r["tokens"]
+        for r in parts.toLocalIterator():  # as many as one task averages, at most
+            total, seen = total + np.frombuffer(r["blob"], np.float32).astype(np.float64) * r["tokens"], seen + r["tokens"]
+        remove(parts)
+        share.destroy()
         if seen:
             net = Network(entries, hidden, weights=total / seen)
     return net
@@ -368,45 +471,29 @@ def train(chunks: DataFrame, counts: Counts, hidden: int = HIDDEN, rounds: int =
 def score(docs: DataFrame, vocabulary: int = VOCABULARY, hidden: int = HIDDEN) -> DataFrame:
     """The columns of ``RESULT`` for every row of ``docs`` (doc_id, text): counts, unigram base and the model's log10 probability."""
     chunks, size = ch.store(docs, "lm")
-    counts, replies = count(chunks, ch.bucket_count(size), vocabulary)
-    net = train(chunks, counts, hidden)
-    share = docs.sparkSession.sparkContext.broadcast((net, counts))
+    counts, sent, replies = count(chunks, ch.bucket_count(size), vocabulary)
+    prepared = prepare(chunks, replies, counts)
+    remove(chunks, sent)
+    net = train(prepared, counts, hidden)
+    share = docs.sparkSession.sparkContext.broadcast((net, counts.tokens))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, counts = share.value
-        vocab = Vocabulary(counts.words)
-        inside = int(counts.counts.sum())
-        n_rest, v_rest = counts.tokens - counts.ends - inside, counts.distinct - (counts.ends > 0) - len(counts.words)
-        base_of = lambda c: np.log10((c + 0.5) / (counts.tokens + 0.5 * (counts.distinct + 1)))
-        held: list[tuple] = []
+        net, total = share.value
+        held: list[Texts] = []
 
         def flush() -> pa.RecordBatch:
-            texts = [d for h in held for d in h[0]]
-            scores = net.score(texts) / np.log(10) + np.concatenate([h[4] for h in held])
-            ids = pa.concat_arrays([h[1] for h in held])
-            n, known, base = (np.concatenate([h[i] for h in held]) for i in (2, 3, 5))
-            row = [ids, pa.array(held_out_rows(ids)[0]), pa.array(n), pa.array(known), pa.array(np.full(len(ids), counts.tokens)), pa.array(base), pa.array(scores)]
+            scores = net.score([d for t in held for d in t.docs(np.arange(len(t.n)))]) / np.log(10) + np.concatenate([t.inner for t in held])
+            ids = pa.concat_arrays([t.ids for t in held])
+            held_out, n, known, base = (np.concatenate([getattr(t, name) for t in held]) for name in ("held_out", "n", "known", "base"))
+            row = [ids, pa.array(held_out), pa.array(n), pa.array(known), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(scores)]
             held.clear()
             return pa.RecordBatch.from_arrays(row, names=[f.split()[0] for f in RESULT.split(", ")])
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk(batch.column("cid")[i].as_py(), batch.column("data")[i].as_py())
-                texts, h, owner, n, entries = _documents(chunk, vocab)
-                pairs = [ch.unpack(b) for b in batch.column("replies")[i].as_py() or []]
-                words = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, _U)
-                count_of = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
-                order = np.argsort(words)
-                c = count_of[order][np.searchsorted(words[order], h)] if len(h) else np.zeros(0, np.int64)
-                rows = chunk.rows
-                base = np.bincount(owner, weights=base_of(c), minlength=rows) + base_of(counts.ends)
-                known = np.bincount(owner, weights=c > 0, minlength=rows).astype(np.int64) + (counts.ends > 0)
-                outside = entries == 1
-                inner = np.where(outside, np.log10((c + 0.5) / (n_rest + 0.5 * (v_rest + 1))), 0.0)
-                held.append((texts, chunk.batch.column("doc_id"), n + 1, known, np.bincount(owner, weights=inner, minlength=rows), base))
-                if sum(int(h[2].sum()) for h in held) > 3_000_000 or sum(len(h[0]) for h in held) >= 4 * SCORE_ROWS:
-                    yield flush()
+        for _, texts in _texts(batches):
+            held.append(texts)
+            if sum(len(t.flat) for t in held) > 3_000_000 or sum(len(t.n) for t in held) >= 4 * SCORE_ROWS:
+                yield flush()
         if held:
             yield flush()
 
-    return ch.with_replies(chunks, replies).select("cid", "data", "replies").mapInArrow(judge, RESULT)
+    return prepared.mapInArrow(judge, RESULT)

@@ -1,9 +1,11 @@
 import collections
 import math
+import os
 import re
 import zlib
 
 import numpy as np
+import pytest
 
 from rankloom.llm import chunks as ch, lm
 
@@ -41,7 +43,7 @@ def test_gradients_agree_with_differences():
     def loss():
         state, x, total = h, last, 0.0
         for i in range(4):
-            state = net.step(net.p["x"][x] + net.p["b"], state)[0]
+            state = net.step(net.p["x"][x] + net.p["b"], state)
             total -= net.log_probabilities(state, target[i])[real[i]].sum()
             x = target[i]
         return total / real.sum()
@@ -76,8 +78,23 @@ def test_every_training_document_trains_the_network(spark):
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     ids = [i for i in range(80) if fold(i) != 1]
     chunks, size = ch.store(frame(spark, [(i, " ".join([f"w{i}"] * 20)) for i in range(80)]), "lm")
-    counts, _ = lm.count(chunks, ch.bucket_count(size), 128)
-    net = lm.train(chunks, counts, hidden=8)
+    counts, _, replies = lm.count(chunks, ch.bucket_count(size), 128)
+    net = lm.train(lm.prepare(chunks, replies, counts), counts, hidden=8)
     assert len(counts.words) == len(ids)
     moved = np.abs(net.p["x"] - lm.Network(len(ids) + 2, 8).p["x"]).max(axis=1)  # of the input table, only rows of words learnt from move
     assert (moved[2:] > 1e-4).all()
+
+
+def test_classes_cover_all_entries():
+    for entries in (1, 2, 7, 4098):
+        starts = lm.class_starts(entries)
+        assert starts[0] == 0 and starts[-1] == entries and (np.diff(starts) > 0).all()
+
+
+def test_held_out_documents_are_likelier_than_by_their_words_counts(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    rows = lm.score(spark.read.parquet(path).select("doc_id", "text")).where("held_out").collect()
+    assert sum(r.score for r in rows) > 0.99 * sum(r.base_score for r in rows)
+    assert sum(r.score > r.base_score for r in rows) > 0.6 * len(rows)
