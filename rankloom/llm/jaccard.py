@@ -44,7 +44,7 @@ MEETINGS = "sig long, center long, node long"
 OUTLINES = "node long, n long, sketch binary"
 GRAMS = "node long, grams binary"
 #: Nodes, and n-grams of their sets, in a block; a task compares two blocks at a time.
-BLOCK, BLOCK_GRAMS = 512, 1 << 19
+BLOCK, BLOCK_GRAMS = 2048, 1 << 21
 
 
 def band_tops(largest: int) -> list[int]:
@@ -137,8 +137,8 @@ def _meet(bucket: int, cids: list[int], blobs: list[bytes]) -> Iterator[tuple[in
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """How many n-grams fall in each of about as many equal ranges of hashes, 255 at most."""
-    bits = max(4, int(len(grams)).bit_length())
+    """How many n-grams fall in each of equal ranges of hashes, some eight to a range, 255 at most: sets without relation already differ in more than may link."""
+    bits = max(4, int(len(grams)).bit_length() - 3)
     return np.minimum(np.bincount((grams >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
@@ -237,16 +237,28 @@ class Holders:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every linked node; the label is the component's smallest node. Labels flow to neighbours and jump."""
     both = table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    held = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
+        labels = held.select("node", "label")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         flown = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), "label")
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
         step = table(flown.join(jump, "to").select("node", F.least("to", "further").alias("label"), (F.least("to", "further") < F.col("label")).alias("moved")), "labels")
         moved = step.where("moved").limit(1).count()
-        labels = step.select("node", "label")
+        remove(held)  # with what the round broadcast
+        held = step
         if not moved:
-            return labels
+            remove(both)
+            return held.select("node", "label")
+
+
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` after further links: whole components are one node of the links that join them, so only those are walked."""
+    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+    between = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    roots = components(between)
+    moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return moved.unionByName(roots.join(labels, "node", "left_anti"))
 
 
 def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -281,7 +293,7 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tuple[DataF
     labels = components(links)
     more = _rest(met, labels, holders, percent, buckets)
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        labels = _merged(labels, more)
     found = table(members.join(labels, "node", "left").select("cid", "row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "components")
     remove(members, met, stars, more)
     return chunks, found
