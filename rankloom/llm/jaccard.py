@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ OUTLINES = "node long, n long, sketch binary"
 GRAMS = "node long, grams binary"
 #: Nodes, and n-grams of their sets, in a block; a task compares two blocks at a time.
 BLOCK, BLOCK_GRAMS = 2048, 1 << 21
+#: Bytes of sets that a round of such tasks shuffles: these, or as many as the texts have.
+ROUND_BYTES = 64 << 20
 
 
 def band_tops(largest: int) -> list[int]:
@@ -211,18 +214,19 @@ class Holders:
     members: DataFrame
     n: int
 
-    def ask(self, nodes: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
-        """``fn`` of (chunk id, nodes, their sets one after another, offsets) for each chunk that holds some of ``nodes``."""
+    def ask(self, nodes: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str, told: DataFrame | None = None) -> DataFrame:
+        """``fn`` of (chunk id, nodes, their sets one after another, offsets) for each chunk that holds some of ``nodes``, and of a list of the packets in ``told`` (cid, blob) for it."""
         at = self.members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("cid", "row")).alias("at"))
         asked = at.groupBy("at.cid").agg(F.collect_list("at.row").alias("rows")).select("cid", F.array_join("rows", ",").cast("binary").alias("blob"))
-        n = self.n
+        n, more = self.n, told is not None
 
         def give(chunk: Chunk, replies: list[bytes]) -> Iterator[tuple]:
-            rows = np.array(sorted(int(r) for blob in replies for r in blob.split(b",")), np.int64)
+            packets = [blob for blob in replies if not blob[:1].isdigit()]
+            rows = np.array(sorted(int(r) for blob in replies if blob[:1].isdigit() for r in blob.split(b",")), np.int64)
             elements, off, whole = sets(chunk.some(rows), n)
-            yield from fn(chunk.cid, whole.view(np.int64), elements, off)
+            yield from fn(chunk.cid, whole.view(np.int64), elements, off, *[packets] * more)
 
-        return ch.over_chunks(ch.with_replies(self.chunks, asked, "inner"), give, schema)
+        return ch.over_chunks(ch.with_replies(self.chunks, asked.unionByName(told) if more else asked, "inner"), give, schema)
 
     def fetch(self, nodes: DataFrame, fn: Callable[[int, np.ndarray], tuple], schema: str) -> DataFrame:
         """A written table of ``fn`` of each node and its set."""
@@ -291,7 +295,7 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tuple[DataF
     stars = table(met.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = _linked(stars, holders, percent)
     labels = components(links)
-    more = _rest(met, labels, holders, percent, buckets)
+    more = _rest(met, labels, holders, percent, buckets, max(size, ROUND_BYTES))
     if more.limit(1).count():
         labels = _merged(labels, more)
     found = table(members.join(labels, "node", "left").select("cid", "row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "components")
@@ -344,18 +348,62 @@ def _alone(nodes: DataFrame, holders: Holders, buckets: int) -> DataFrame:
     return counted.groupBy("cid").agg(F.collect_list("blob").alias("replies")).select("replies").mapInArrow(add, "node long, alone long")
 
 
+def _rare(nodes: DataFrame, holders: Holders, percent: int, buckets: int) -> DataFrame:
+    """(sig, node): the n-grams of each of ``nodes`` by which it can meet those it links with.
+
+    Sets that link have ``percent`` of the n-grams of each in common, at least. So in any order of n-grams, the first ones
+    of either, one more than it may have without the other, hold one that both have. In the order of how many of ``nodes``
+    have them, rarest first, few sets meet by chance. N-grams that one node alone has are left out.
+    """
+
+    def send(cid: int, node: np.ndarray, elements: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        grams, count = np.unique(elements, return_counts=True)
+        bounds = ch.bucket_bounds(grams, buckets)
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            part = slice(bounds[b], bounds[b + 1])
+            yield b, cid, ch.pack(grams[part], count[part].astype(np.uint16))
+
+    def add(bucket: int, cids: list[int], blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        parts = [ch.unpack(b) for b in blobs]
+        grams, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+        for cid, (own, _) in zip(cids, parts, strict=True):
+            held = total[np.searchsorted(grams, own)]
+            yield cid, ch.pack(own[held > 1], held[held > 1])
+
+    def first(cid: int, node: np.ndarray, elements: np.ndarray, off: np.ndarray, told: list[bytes]) -> Iterator[tuple[int, int]]:
+        parts = [ch.unpack(b) for b in told]
+        grams, total = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        held = np.ones(len(elements), np.int64)
+        if len(grams):
+            order = np.argsort(grams)
+            at = order[np.minimum(np.searchsorted(grams, elements, sorter=order), len(grams) - 1)]
+            held[grams[at] == elements] = total[at][grams[at] == elements]
+        size = np.diff(off)
+        own = np.repeat(np.arange(len(node)), size)
+        order = np.lexsort((elements, held, own))
+        place = np.arange(len(elements)) - off[own]
+        take = order[place < (size - -(-percent * size // 100) + 1)[own]]
+        take = take[held[take] > 1]
+        yield from zip(elements[take].view(np.int64).tolist(), node[own[take]].tolist(), strict=True)
+
+    told = ch.over_buckets(holders.ask(nodes, send, ch.PACKETS), add, ch.REPLIES)
+    return holders.ask(nodes, first, "sig long, node long", told)
+
+
 def _open(labelled: DataFrame) -> DataFrame:
     """The rows of signatures whose nodes are in different components."""
     spread = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     return labelled.join(spread.where("lo <> hi").select("sig"), "sig", "left_semi")
 
 
-def _rest(met: DataFrame, labels: DataFrame, holders: Holders, percent: int, buckets: int) -> DataFrame:
+def _rest(met: DataFrame, labels: DataFrame, holders: Holders, percent: int, buckets: int, budget: int) -> DataFrame:
     """Links, as many as it takes to connect what they connect, among pairs of one signature that are still in different components.
 
     What a node shares with another of these is at most its n-grams that aren't its alone: nodes with too many of their
-    own are done. The others are dealt into blocks, and blocks that hold different components of one signature are
-    compared two at a time, every set of one with every set of the other. What leaves a task is a forest of links.
+    own are done. The others meet again by their rarest n-grams. Those of different components that do are dealt into
+    blocks, and blocks that such an n-gram ties are compared two at a time, every set of one with every set of the other,
+    so many pairs of blocks in a round as their sets weigh no more than ``budget`` bytes. What leaves a task is a forest of links.
     """
     of = labels.select("node", "label")
     labelled = met.select("sig", F.col("node")).unionByName(met.select("sig", F.col("center").alias("node")).distinct())
@@ -365,19 +413,31 @@ def _rest(met: DataFrame, labels: DataFrame, holders: Holders, percent: int, buc
     sizes = holders.members.join(nodes, "node", "left_semi").select("node", "n").distinct()
     share = sizes.join(_alone(nodes, holders, buckets), "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
     can = table(share.where(F.col("most") * 100 >= F.col("n") * percent).select("node", "n"), "can")
-    left = table(_open(wide.join(can, "node")), "open")  # without the others, most signatures are settled
+    left = table(_open(wide.join(can, "node")).select("node", "label", "n").distinct(), "open")  # without the others, most signatures are settled
     remove(wide, nodes, can)
-    blocks, together = _blocks(left)
+    tied = table(_open(_rare(left.select("node"), holders, percent, buckets).join(left, "node")), "rare")
+    remove(left)
+    blocks, together = _blocks(tied)
     held = holders.fetch(blocks.select("node"), lambda node, grams: (node, grams.tobytes()), GRAMS)
     sides = together.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    groups = sides.join(blocks, "block").join(held, "node").select("x", "y", "block", "node", "label", "grams")
-    links = table(groups.repartition("x", "y").sortWithinPartitions("x", "y", "block").mapInArrow(_compared(percent), "a long, b long"), "verified")
-    remove(left, blocks, together, held)
+    weight = blocks.groupBy("block").agg(F.sum("n").alias("n"))
+    rounds = max(1, -(-8 * (sides.join(weight, "block").agg(F.sum("n")).first()[0] or 0) // budget))
+    parts = []
+    for k in range(rounds):  # what a round shuffles goes before the next
+        now = sides.where(F.pmod(F.xxhash64("x", "y"), F.lit(rounds)) == k)
+        groups = now.join(blocks, "block").join(held, "node").select("x", "y", "block", "node", "label", "grams")
+        parts.append(table(groups.repartition("x", "y").sortWithinPartitions("x", "y", "block").mapInArrow(_compared(percent), "a long, b long"), "verified"))
+        remove()
+    links = parts[0]
+    if rounds > 1:
+        links = table(reduce(DataFrame.unionByName, parts), "verified")
+        remove(*parts)
+    remove(tied, blocks, together, held)
     return links
 
 
 def _blocks(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, label, block), and (x, y): the pairs of blocks, x = y too, that a signature asks to compare.
+    """(node, label, n, block), and (x, y): the pairs of blocks, x = y too, that a signature asks to compare.
 
     Nodes that signatures tie together, at once or through others, are one block if they are few enough. Else they are
     dealt by the smallest signature each has, so that those of one signature stay close, and those of a large one by
@@ -391,7 +451,7 @@ def _blocks(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = homes.join(of_home, "home").join(coarse, "node")
     of_coarse = placed.groupBy("coarse").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("parts"))
     part = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("node"), "salts")), "parts")
-    blocks = table(placed.join(of_coarse, "coarse").select("node", "label", F.xxhash64("coarse", part).alias("block")), "blocks")
+    blocks = table(placed.join(of_coarse, "coarse").select("node", "label", "n", F.xxhash64("coarse", part).alias("block")), "blocks")
     met = left.select("sig", "node").join(blocks.select("node", "block"), "node").groupBy("sig").agg(F.collect_set("block").alias("bs"))
     pairs = met.select("bs", F.explode("bs").alias("x")).select("x", F.explode("bs").alias("y")).where("x <= y").distinct()
     return blocks, table(pairs, "together")

@@ -104,3 +104,36 @@ def test_large_groups_near_the_threshold(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     got = sorted((tuple(r) for r in jaccard.digest(frame(spark, rows), 4, 85).collect()), key=str)
     assert got == brute(rows, 4, 85) and 1 < len({c for *_, c in got}) < 120
+
+
+def test_blocks_of_a_template_are_compared_only_where_sets_can_link(spark, monkeypatch):
+    """Sets with a template in common and no n-grams alone, none of which link: what is shuffled must not grow with their square."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    made, blocks_of = [], jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda *a: made.append(blocks_of(*a)) or made[-1])
+    remove = jaccard.remove
+    counted = []
+    monkeypatch.setattr(jaccard, "remove", lambda *a: counted.append(made[-1][1].count()) if made and not counted else remove(*a))
+    part = lambda p, n: [f"{p}x{i}" for i in range(n)]
+    rows = [(k, " ".join(part("t", 60) + part(f"a{k // 2}", 10) + part(f"b{k // 4}{(k + 1) % 4 // 2}", 10))) for k in range(120)]
+    got = sorted((tuple(r) for r in jaccard.digest(frame(spark, rows), 4, 85).collect()), key=str)
+    assert got == brute(rows, 4, 85) and len({c for *_, c in got}) == 120
+    assert counted[0] <= 40  # with every two of 30 blocks: 465
+
+
+def test_comparison_in_rounds(spark, monkeypatch):
+    """Several rounds of pairs of blocks find what one does."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "ROUND_BYTES", 1)
+    monkeypatch.setattr(jaccard.ch, "store", lambda *a, f=jaccard.ch.store: (f(*a)[0], 40_000))
+    rounds, compared = [], jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda percent: rounds.append(percent) or compared(percent))
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(120):
+        w = [f"b{i}" for i in range(80)]
+        for p in rng.choice(80, int(rng.integers(1, 5)), replace=False):
+            w[p] = f"c{rng.integers(0, 40)}"
+        rows.append((k, " ".join(w)))
+    got = sorted((tuple(r) for r in jaccard.digest(frame(spark, rows), 4, 85).collect()), key=str)
+    assert got == brute(rows, 4, 85) and len(rounds) > 1
