@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import chunks as ch, textblocks as tb
 from .chunks import Chunk
-from .shared import remove, table
+from .shared import remove, table as written
 
 NGRAM = 4
 PERCENT = 85
@@ -50,6 +50,14 @@ BLOCK, BLOCK_GRAMS = 2048, 1 << 21
 ROUND_BYTES = 64 << 20
 
 
+def table(df: DataFrame, name: str) -> DataFrame:
+    """A written table; what planning and running it left on the driver goes at once. A join takes some fifty of these, and
+    a driver that collects only when its heap is full has touched all of it by then."""
+    held = written(df, name)
+    remove()
+    return held
+
+
 def band_tops(largest: int) -> list[int]:
     tops, top = [1], 1
     while top < largest:

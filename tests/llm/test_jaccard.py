@@ -137,3 +137,11 @@ def test_comparison_in_rounds(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     got = sorted((tuple(r) for r in jaccard.digest(frame(spark, rows), 4, 85).collect()), key=str)
     assert got == brute(rows, 4, 85) and len(rounds) > 1
+
+
+def test_the_driver_collects_after_each_table(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard, "written", lambda df, name, f=jaccard.written: seen.append("table") or f(df, name))
+    monkeypatch.setattr(jaccard, "remove", lambda *a, f=jaccard.remove: seen.append("collected") or f(*a))
+    jaccard.digest(frame(spark, documents(4, 30))).count()
+    assert "table" in seen and all(b == "collected" for a, b in zip(seen, seen[1:], strict=False) if a == "table")
