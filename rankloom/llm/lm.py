@@ -196,7 +196,7 @@ class Network:
         out = np.empty(len(target))
         for lo in range(0, len(target), BLOCK):
             part = slice(lo, lo + BLOCK)
-            out[part] = _log_shares(h[part] @ self.p["c"], self.p["cb"], k[part])[0]
+            out[part] = _log_shares(h[part] @ self.p["c"], self.p["cb"], k[part], False)[0]
         order, cuts = _by_class(k)
         x, place = h[order], place[order]
         second = np.empty(len(target))
@@ -204,7 +204,7 @@ class Network:
             own = slice(self.starts[cls], self.starts[cls + 1])
             for lo in range(a, b, BLOCK):
                 part = slice(lo, min(lo + BLOCK, b))
-                second[part] = _log_shares(x[part] @ self.p["w"][own].T, self.p["wb"][own], place[part])[0]
+                second[part] = _log_shares(x[part] @ self.p["w"][own].T, self.p["wb"][own], place[part], False)[0]
         out[order] += second
         return out
 
@@ -236,12 +236,25 @@ class Network:
                     target[: len(part), k], real[: len(part), k] = part, True
                 grads, h, last, n = self._window(target, real, h, last)
                 seen, t = seen + n, t + 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g, _ in grads.values()))
+                # plain floats: with numpy's own, all of this would be done in double precision
+                norm = math.sqrt(sum(float(np.vdot(g, g)) for g, _ in grads.values()))
+                clip, size = min(1.0, 1.0 / (norm + 1e-8)), rate * min(1.0, t / 10, 2 * n / (rows * window)) / (1 - 0.9**t)
                 for k, (g, at_) in grads.items():  # of the input table, only the rows that were used move
-                    g = g * min(1.0, 1.0 / (norm + 1e-8))
-                    m[k][at_] += 0.1 * (g - m[k][at_])
-                    s[k][at_] += 0.01 * (g * g - s[k][at_])
-                    self.p[k][at_] -= (rate * min(1.0, t / 10, 2 * n / (rows * window)) / (1 - 0.9**t) * m[k][at_] / (np.sqrt(s[k][at_] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                    mean, square = m[k][at_], s[k][at_]  # views, but of the input table
+                    mean *= 0.9
+                    mean += (0.1 * clip) * g
+                    np.multiply(g, g, out=g)
+                    g *= 0.01 * clip * clip
+                    square *= 0.99
+                    square += g
+                    if k == "x":
+                        m[k][at_], s[k][at_] = mean, square
+                    np.sqrt(square, out=g)
+                    g *= 1 / math.sqrt(1 - 0.99**t)
+                    g += 1e-6
+                    np.divide(mean, g, out=g)
+                    g *= size
+                    self.p[k][at_] -= g
         return seen
 
     def _window(self, target: np.ndarray, real: np.ndarray, h: np.ndarray, last: np.ndarray):
@@ -252,9 +265,10 @@ class Network:
         kind = given.dtype
         states = np.empty((steps + 1, rows, n), kind)
         states[0] = h
-        zr, cu = np.empty((steps, rows, 2 * n), kind), np.empty((steps, rows, 2 * n), kind)
+        z, r, c, uc = (np.empty((steps, rows, n), kind) for _ in range(4))
         for i in range(steps):
-            states[i + 1], zr[i], cu[i, :, :n], cu[i, :, n:] = self._gates(given[i], states[i])
+            states[i + 1], zr, c[i], uc[i] = self._gates(given[i], states[i])
+            z[i], r[i] = zr[:, :n], zr[:, n:]
         hs = states[1:].reshape(-1, n)
         k, place = self.place(target.ravel())
         w = real.ravel()
@@ -269,37 +283,55 @@ class Network:
         order, cuts = _by_class(k[own])
         own = own[order]
         x, place, back = hs[own], place[own], np.empty((len(own), n), kind)
+        # states lie between -1 and 1, so no logit is beyond this; classes are many and narrow, so calls count
+        safe = float((np.abs(self.p["w"]).sum(axis=1) + np.abs(self.p["wb"])).max()) < 40
+        at_own, ones, share = np.arange(len(own)), np.ones(max(len(own), int(np.diff(self.starts).max())), kind), 1 / total
         for cls, a, b in cuts:
             at = slice(self.starts[cls], self.starts[cls + 1])
-            q = _log_shares(x[a:b] @ self.p["w"][at].T, self.p["wb"][at], place[a:b])[1]
-            q[np.arange(b - a), place[a:b]] -= 1
-            q /= total
-            g["w"][at], g["wb"][at] = q.T @ x[a:b], q.sum(axis=0)
-            back[a:b] = q @ self.p["w"][at]
+            table_, given_ = self.p["w"][at], x[a:b]
+            q = given_ @ table_.T
+            q += self.p["wb"][at]
+            if not safe:
+                q -= q.max(axis=1, keepdims=True)
+            np.exp(q, out=q)
+            q *= (share / (q @ ones[: len(table_)]))[:, None]
+            q[at_own[: b - a], place[a:b]] -= share
+            np.matmul(q.T, given_, out=g["w"][at])
+            np.matmul(ones[: b - a], q, out=g["wb"][at])
+            np.matmul(q, table_, out=back[a:b])
         dh[own] += back
         dh = dh.reshape(steps, rows, n)
         # of candidate c and gates z, r, all at once: the factors that don't depend on what comes back
-        z, r, c, uc = zr[:, :, :n], zr[:, :, n:], cu[:, :, :n], cu[:, :, n:]
-        f_c = (1 - z) * (1 - c * c)
-        f_z = (states[:-1] - c) * z * (1 - z)
-        f_r = uc * r * (1 - r)
-        gates, dr = np.empty((steps, rows, 3 * n), kind), np.empty((steps, rows, n), kind)
+        rest = 1 - z
+        f_z = states[:-1] - c
+        f_z *= z
+        f_z *= rest
+        f_c = c * c
+        np.subtract(1, f_c, out=f_c)
+        f_c *= rest
+        f_r = np.subtract(1, r, out=rest)
+        f_r *= r
+        f_r *= uc
+        gates, dc = np.empty((steps, rows, 3 * n), kind), np.empty((steps, rows, n), kind)  # of z, r and what r multiplies; of c
         ut = np.ascontiguousarray(self.p["u"].T)
         back = np.zeros_like(h)
         for i in range(steps - 1, -1, -1):
-            d = dh[i] + back
-            dc = d * f_c[i]
-            gates[i, :, :n] = d * f_z[i]
-            gates[i, :, n : 2 * n] = dc * f_r[i]
-            gates[i, :, 2 * n :] = dc
-            np.multiply(dc, r[i], out=dr[i])
-            back = d * z[i] + gates[i, :, : 2 * n] @ ut[: 2 * n] + dr[i] @ ut[2 * n :]
+            d, now = dh[i], gates[i]
+            d += back
+            np.multiply(d, f_c[i], out=dc[i])
+            np.multiply(d, f_z[i], out=now[:, :n])
+            np.multiply(dc[i], f_r[i], out=now[:, n : 2 * n])
+            np.multiply(dc[i], r[i], out=now[:, 2 * n :])
+            back = now @ ut
+            d *= z[i]
+            back += d
         gates = gates.reshape(-1, 3 * n)
-        before = states[:-1].reshape(-1, n).T
-        g["u"] = np.concatenate([before @ gates[:, : 2 * n], before @ dr.reshape(-1, n)], axis=1)
+        g["u"] = states[:-1].reshape(-1, n).T @ gates
+        gates[:, 2 * n :] = dc.reshape(-1, n)
         g["b"] = gates.sum(axis=0)
         order = np.argsort(at_used.ravel().astype(np.uint16 if len(used) <= 1 << 16 else np.int64), kind="stable")
-        g["x"] = np.add.reduceat(gates[order], np.cumsum(np.bincount(at_used.ravel())) - np.bincount(at_used.ravel()), axis=0)
+        count = np.bincount(at_used.ravel())
+        g["x"] = np.add.reduceat(gates[order], np.cumsum(count) - count, axis=0)
         return {k: (v, used if k == "x" else slice(None)) for k, v in g.items()}, states[-1], target[-1], int(w.sum())
 
     def score(self, docs: list[np.ndarray], rows: int = SCORE_ROWS, window: int = WINDOW) -> np.ndarray:
@@ -330,14 +362,16 @@ class Network:
         return out
 
 
-def _log_shares(x: np.ndarray, bias: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(logarithm of each row's softmax at its place, the softmax); overwrites ``x``, to which the bias is added first."""
+def _log_shares(x: np.ndarray, bias: np.ndarray, place: np.ndarray, shares: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(logarithm of each row's softmax at its place, the softmax if ``shares``); overwrites ``x``, to which the bias is added first."""
     x += bias
-    x -= x.max(axis=1, keepdims=True)
+    if x.max(initial=0) > 40 or x.min(initial=0) < -40:  # else exponentials and their sums are well within range as they are
+        x -= x.max(axis=1, keepdims=True)
     at = x[np.arange(len(x)), place]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
-    x /= total[:, None]
+    if shares:
+        x *= (1 / total)[:, None]
     return at - np.log(total), x
 
 

@@ -98,3 +98,19 @@ def test_held_out_documents_are_likelier_than_by_their_words_counts(spark):
     rows = lm.score(spark.read.parquet(path).select("doc_id", "text")).where("held_out").collect()
     assert sum(r.score for r in rows) > 0.99 * sum(r.base_score for r in rows)
     assert sum(r.score > r.base_score for r in rows) > 0.6 * len(rows)
+
+
+def test_logits_of_any_size_give_the_same_shares_and_gradients():
+    """What all entries' biases have in common changes nothing, whether exponentials are shifted first or not."""
+    rng = np.random.default_rng(9)
+    x, place = rng.normal(0, 3, (50, 7)), rng.integers(0, 7, 50)
+    logs = [lm._log_shares(x.copy(), np.full(7, by), place, False)[0] for by in (0.0, 30.0, 900.0, -900.0)]
+    assert all(np.allclose(logs[0], v) for v in logs[1:])
+    target, real = rng.integers(0, 40, (5, 6)), rng.random((5, 6)) < 0.8
+    grads = []
+    for by in (0, 900):
+        net = lm.Network(40, 4)
+        net.p = {k: v.astype(float) for k, v in net.p.items()}
+        net.p["wb"] += by
+        grads.append(net._window(target, real, np.zeros((6, 4)), np.zeros(6, np.int64))[0])
+    assert all(np.allclose(grads[0][k][0], grads[1][k][0], atol=1e-9) for k in grads[0])
