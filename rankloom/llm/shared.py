@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
@@ -45,6 +47,7 @@ def remove(*tables: DataFrame) -> None:
     """Deletes the files of tables made by ``table`` or ``chunks.store`` that nothing reads any more, and lets Spark drop the shuffle files of finished steps.
 
     Spark's cleaner drops a shuffle once the JVM has collected its plan, which a driver with memory to spare puts off.
+    What the driver's JVM has allocated outside its heap and freed goes back to the system too.
     """
     for df in tables:
         context = df.sparkSession.sparkContext
@@ -53,7 +56,31 @@ def remove(*tables: DataFrame) -> None:
         if name := getattr(df, "scratch_table", None):
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     gc.collect()
-    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
+    context = SparkSession.getActiveSession().sparkContext
+    context._jvm.System.gc()
+    _trim(context)
+
+
+def _trim(context: SparkContext) -> None:
+    """Gives the freed native memory of the driver's JVM back to the system, where the JVM has a command for it (HotSpot on glibc).
+
+    Planning and compiling many steps allocates in many threads, and the C library keeps what each of them frees.
+    """
+    lang = context._jvm.java.lang
+
+    def array(kind: object, *values: object) -> object:
+        made = context._gateway.new_array(kind, len(values))
+        for k, v in enumerate(values):
+            made[k] = v
+        return made
+
+    try:
+        names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        invoke = lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(lang.Class, *map(lang.Class.forName, names)))
+        commands = context._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, commands, "systemTrimNativeHeap", array(lang.Object), array(lang.String)))
+    except Py4JError:  # another JVM: it keeps that memory
+        pass
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
