@@ -136,8 +136,8 @@ def late_interaction(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors in slices of 16 stand for token vectors."""
     rows, asked = _vectors(spark, sf)
     parts = lambda d, key: d.select(F.col(key), F.explode(F.transform(F.array(*map(F.lit, range(4))), lambda i: F.slice("vector", i * 16 + 1, 16))).alias("vector"))
-    found = dense.max_sim(parts(rows, "doc_id").withColumnRenamed("doc_id", "owner"), parts(asked, "query_id")).withColumnRenamed("owner", "doc_id")
-    return rank.ranked(found, 5).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
+    found = dense.max_sim(parts(rows, "doc_id").withColumnRenamed("doc_id", "owner"), parts(asked, "query_id"), 5).withColumnRenamed("owner", "doc_id")
+    return found.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
 
 
 LATE_INTERACTION = f"""WITH {_VECTORS}, qt AS (SELECT vec_id, i, v[i * 16 + 1:i * 16 + 16] AS v FROM q, range(4) t(i)), et AS (SELECT vec_id, i, v[i * 16 + 1:i * 16 + 16] AS v FROM e, range(4) t(i)),
