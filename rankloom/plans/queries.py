@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions import text as tx
@@ -26,12 +25,9 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.score(_docs(spark, sf), _asked(spark, sf))
-
-
-def _saturated(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.saturated(_bm25(spark, sf))
+def _saturated(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` best of each query, and the moments of all its scores."""
+    return lexical.pool(_docs(spark, sf), _asked(spark, sf), k, squash=True)
 
 
 def _n(spark: SparkSession, sf: str) -> int:
@@ -75,9 +71,9 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
 
 def _observed(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, confidence, correct): is the best match a gold document?"""
-    scores = _saturated(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    top = rank.ranked(scores, 1).select("query_id", "doc_id").join(_gold(spark, sf).withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
-    sure = rank.confidence(scores, _n(spark, sf))
+    top, own = _saturated(spark, sf, 1)
+    top = top.select("query_id", "doc_id").join(_gold(spark, sf).withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    sure = rank.confidence_of(own, _n(spark, sf))
     return _asked(spark, sf).select("query_id").join(sure, "query_id", "left").join(top, "query_id", "left").select(
         "query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("hit", F.lit(0)).alias("correct")).persist()  # a row a query
 
@@ -133,7 +129,7 @@ TOKEN_FREQUENCIES = f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM id
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _placed(rank.ranked(_bm25(spark, sf), K, rank.RAW_PLACES))
+    return _placed(lexical.pool(_docs(spark, sf), _asked(spark, sf), K, places=rank.RAW_PLACES)[0])
 
 
 BM25_TOPK = f"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw_score, 6) DESC, doc_id)::INT AS rank FROM bm)
@@ -141,7 +137,7 @@ SELECT query_id, doc_id, rank, round(raw_score, 4) AS score FROM r WHERE rank <=
 
 
 def bm25_saturated_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return rank.confidence(_saturated(spark, sf), _n(spark, sf)).select("query_id", F.round("confidence", 4).alias("confidence"))
+    return rank.confidence_of(_saturated(spark, sf, 1)[1], _n(spark, sf)).select("query_id", F.round("confidence", 4).alias("confidence"))
 
 
 BM25_SATURATED_CONFIDENCE = f"WITH {_BM25} SELECT query_id, round(confidence, 4) AS confidence FROM conf"
@@ -154,8 +150,8 @@ def bm25_gate(spark: SparkSession, sf: str) -> DataFrame:
     rare = items.select((F.col("query_id") + 100_000).alias("query_id"), F.get(words, F.lit(0))["t"].alias("text"))
     none = items.select((F.col("query_id") + 200_000).alias("query_id"), F.concat(F.lit("zq"), F.col("query_id").cast("string"), F.lit("qz")).alias("text"))
     asked = items.unionByName(rare).unionByName(none)
-    scores = lexical.saturated(lexical.score(_docs(spark, sf), asked)).persist(StorageLevel.MEMORY_AND_DISK)
-    made = g.Gate().decide(asked, rank.ranked(scores, 1), rank.confidence(scores, _n(spark, sf)))
+    top, own = lexical.pool(_docs(spark, sf), asked, 1, squash=True)
+    made = g.Gate().decide(asked, top, rank.confidence_of(own, _n(spark, sf)))
     return made.select("query_id", "doc_id", F.bround("score", 4).alias("score"), F.bround("confidence", 3).alias("confidence"), "shown", "reason")
 
 
@@ -168,7 +164,7 @@ FROM asked b LEFT JOIN ranked r ON r.query_id = b.query_id AND r.rank = 1 LEFT J
 
 
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _placed(rank.ranked(lexical.tfidf(_docs(spark, sf), _asked(spark, sf)), K, rank.RAW_PLACES))
+    return _placed(lexical.pool(_docs(spark, sf), _asked(spark, sf), K, "tfidf", places=rank.RAW_PLACES)[0])
 
 
 TFIDF_TOPK = f"""WITH {_BM25}, s AS (SELECT query_id, doc_id, sum(qtf * (1 + ln(tf)) * ln(n / df::DOUBLE)) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term), st GROUP BY query_id, doc_id),
@@ -212,8 +208,8 @@ SELECT query_id, doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= 10"
 
 def quality_prior_rerank(spark: SparkSession, sf: str) -> DataFrame:
     prior = _read(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    scores = _saturated(spark, sf).join(prior, "doc_id", "left").withColumn("score", F.col("score") + QUALITY_WEIGHT * F.coalesce("quality", F.lit(0)))
-    return _placed(rank.ranked(scores, K))
+    docs = _docs(spark, sf).join(prior, "doc_id", "left").select("doc_id", "text", (QUALITY_WEIGHT * F.coalesce("quality", F.lit(0))).alias("prior"))
+    return _placed(lexical.pool(docs, _asked(spark, sf), K, squash=True)[0])
 
 
 QUALITY_PRIOR_RERANK = f"""WITH {_BM25}, p AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
@@ -230,7 +226,7 @@ FROM q, e GROUP BY q.vec_id, e.label"""
 
 
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    members = [_saturated(spark, sf), dense.topk(*_hashed(spark, sf), 50).select("query_id", "doc_id", "score")]
+    members = [_saturated(spark, sf, 50)[0].select("query_id", "doc_id", "score"), dense.topk(*_hashed(spark, sf), 50).select("query_id", "doc_id", "score")]
     return rank.fused(members, K).select("query_id", "doc_id", F.round("rrf", 6).alias("rrf"), F.round("score", 4).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -242,7 +238,7 @@ SELECT query_id, doc_id, round(rrf, 6) AS rrf, round(score, 4) AS score, rank FR
 
 
 def borda_committee(spark: SparkSession, sf: str) -> DataFrame:
-    members = [_saturated(spark, sf), dense.topk(*_hashed(spark, sf), 50).select("query_id", "doc_id", "score")]
+    members = [_saturated(spark, sf, 50)[0].select("query_id", "doc_id", "score"), dense.topk(*_hashed(spark, sf), 50).select("query_id", "doc_id", "score")]
     return rank.borda(members, 50).select("query_id", "doc_id", F.col("points").cast("long").alias("points"))
 
 
@@ -281,7 +277,7 @@ SELECT round((SELECT quantile_cont(v, 0.5) FROM o), 6) AS p50, v AS p95, n FROM
 
 def poor_match_suppression(spark: SparkSession, sf: str) -> DataFrame:
     poor = _gold(spark, sf).groupBy("query_id").agg(F.min("doc_id").alias("bad_doc_id"))
-    return metrics.suppression(poor, rank.ranked(_saturated(spark, sf), 1)).select(F.round("suppression", 6).alias("suppression"), "n")
+    return metrics.suppression(poor, _saturated(spark, sf, 1)[0]).select(F.round("suppression", 6).alias("suppression"), "n")
 
 
 POOR_MATCH_SUPPRESSION = f"""WITH {_BM25}, p AS (SELECT query_id, min(doc_id) AS bad FROM gold GROUP BY query_id)
@@ -289,7 +285,7 @@ SELECT round(avg((r.doc_id IS NULL OR r.doc_id <> bad)::INT::DOUBLE), 6) AS supp
 
 
 def margin_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    top = rank.ranked(_saturated(spark, sf), K)
+    top = _saturated(spark, sf, K)[0]
     return rank.margin(top).join(rank.entropy(top), "query_id").select("query_id", F.round("margin", 4).alias("margin"), F.round("entropy", 4).alias("entropy"))
 
 

@@ -1,11 +1,13 @@
 """What a task holds and gives back is bounded, and the results are those of comparing everything with everything."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 
-from rankloom.operators import dense
+from rankloom import methods
+from rankloom.operators import dense, encode, lexical, rank
 
 
 @pytest.fixture
@@ -91,3 +93,47 @@ def test_late_interaction_ranks_where_the_vectors_are(spark, monkeypatch):
         every = [(o, sum(max(0.0, *[cosine(v, x) for x, y in zip(docs, owners) if y == o]) for v, j in zip(asked, owner_of) if j == i)) for o in set(owners)]
         for place, (o, s) in enumerate(first(every, 3), 1):
             assert got[i, place][0] == o and abs(got[i, place][1] - s) < 1e-9
+
+
+WORDS = "red fox blue tree house green sky".split()
+
+
+def texts(spark, n, seed, parts):
+    rng = random.Random(seed)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 6))), float(rng.randint(0, 1))) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, None, None)], "doc_id long, text string, prior double").coalesce(parts)
+
+
+@pytest.mark.parametrize("how, squash, prior", [("bm25", False, False), ("bm25", True, True), ("tfidf", False, False)])
+def test_lexical_scores_are_ranked_where_documents_are_scanned(spark, small_batches, monkeypatch, how, squash, prior):
+    docs = texts(spark, 300, 7, 1)
+    docs = docs if prior else docs.drop("prior")
+    asked = spark.createDataFrame([("a", "red fox fox"), ("b", "sky nothing"), ("c", "none"), ("d", None), ("e", " ".join(WORDS))], "query_id string, text string")
+    whole = {"bm25": lexical.score, "tfidf": lexical.tfidf}[how](docs, asked)
+    whole = lexical.saturated(whole) if squash else whole
+    if prior:
+        whole = whole.join(docs, "doc_id").selectExpr("query_id", "doc_id", "score + coalesce(prior, 0) as score")
+    rows = lambda df: [(r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in df.orderBy("query_id", "rank").collect()]
+    want, sure = rows(rank.ranked(whole, 4)), {r.query_id: r.confidence for r in rank.confidence(whole, 301).collect()}
+    seen = ranked_rows(monkeypatch, dense)
+    top, own = lexical.pool(docs, asked, 4, how, squash)
+    assert rows(top) == want and len(want) == 12 and seen == [12]
+    got = {r.query_id: r.confidence for r in rank.confidence_of(own, 301).collect()}
+    assert got.keys() == sure.keys() and all(abs(got[q] - c) < 1e-9 for q, c in sure.items())
+    # with more terms than may be broadcast, the same by way of the whole relation
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 3)
+    assert rows(lexical.pool(docs, asked, 4, how, squash)[0]) == want
+
+
+def test_tiles_of_documents_are_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(dense, "TILE", 8)
+    made = lexical._Postings(3, ["a", "b"], np.array([0, 3, 4]), np.array([0, 1, 2, 1]), np.array([1.0, 2.0, 3.0, 5.0]), None, False)
+    rows = [["a", "b", "z"], [], None, ["b"], ["a", "a"]] * 3
+    made.take(pa.array(rows, pa.list_(pa.string())))
+    tiles = list(made.tiles(len(rows)))
+    assert [c for c, *_ in tiles] == [0, *[e for _, e, *_ in tiles][:-1]] and tiles[-1][1] == len(rows) and len(tiles) > 3
+    s, met = np.hstack([t[2] for t in tiles]), np.hstack([t[3] for t in tiles])
+    double = 1 + np.log(2)
+    assert np.allclose(s[:, :5], [[1, 0, 0, 0, double], [7, 0, 0, 5, 2 * double], [3, 0, 0, 0, 3 * double]]) and (s[:, :5] == s[:, 5:10]).all() and met[0, :5].tolist() == [True, False, False, False, True]
