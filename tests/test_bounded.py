@@ -137,3 +137,50 @@ def test_tiles_of_documents_are_whole(monkeypatch):
     s, met = np.hstack([t[2] for t in tiles]), np.hstack([t[3] for t in tiles])
     double = 1 + np.log(2)
     assert np.allclose(s[:, :5], [[1, 0, 0, 0, double], [7, 0, 0, 5, 2 * double], [3, 0, 0, 0, 3 * double]]) and (s[:, :5] == s[:, 5:10]).all() and met[0, :5].tolist() == [True, False, False, False, True]
+
+
+def described(spark, n=40):
+    rows = [(i, 0.8 if i % 2 else None, [f"doc{i} a"], [f"do doc{i}"], [f"topic{i % 7} x{j}" for j in range(i % 4)], f"doc{i} because") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, prior double, visual_concepts array<string>, task_intents array<string>, example_tasks array<string>, reasoning string").coalesce(1)
+
+
+@pytest.mark.parametrize("key, views", [("B0", 1), ("M1", 4)])
+def test_a_text_is_encoded_once_for_ranking_and_confidence(spark, key, views):
+    count = spark.sparkContext.accumulator(0)
+
+    def load():
+        def vectors(some):
+            count.add(len([t for t in some if "doc" in t or "topic" in t or not t]))
+            return [[float(len(t)), 1.0] for t in some]
+
+        return vectors
+
+    found = methods.build(key, described(spark), encoder=encode.model("counting", load)).pool(spark.createDataFrame([(1, "ask")], "query_id long, text string"), 3)
+    assert found.top.count() == 3 and found.confidence.count() == 1
+    assert count.value == 40 * views
+
+
+def test_hashing_counts_tokens_by_bucket(spark):
+    rows = [(1, "Red fox, red FOX x1"), (2, ""), (3, None), (4, "a b c d e f g h i j a a")]
+    got = {r.doc_id: r.v for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", encode.hashing(8).encode(dense.F.col("text")).alias("v")).collect()}
+    for i, text in rows:
+        want = [0.0] * 8
+        for t in (text or "").lower().replace(",", " ").split():
+            want[int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % 8] += 1
+        assert got[i] == want
+
+
+def test_nearest_examples_are_ranked_where_they_are(spark, small_batches, monkeypatch):
+    corpus = described(spark, 200)
+    asked = spark.createDataFrame([(1, "topic3 x1"), (2, "nothing")], "query_id long, text string")
+    held = spark.createDataFrame([("topic3 x0",)], "text string")
+    seen = ranked_rows(monkeypatch, dense)
+    found = methods.build("M2", corpus, held_out=held).pool(asked, 5)
+    got = {(r.query_id, r.rank): (r.doc_id, round(r.score, 9)) for r in found.top.collect()}
+    vector = lambda t: [sum(int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64 == b for w in t.split()) for b in range(64)]
+    for q, text in ((1, "topic3 x1"), (2, "nothing")):
+        scores = [(i, max([0.0, *(cosine(vector(text), vector(t)) for t in (f"topic{i % 7} x{j}" for j in range(i % 4)) if t != "topic3 x0")]) + (0.04 if i % 2 else 0.0)) for i in range(200)]
+        assert [got[q, p] for p in range(1, 6)] == [(d, round(s, 9)) for d, s in first(scores, 5)]
+        s = np.array([x for _, x in scores])
+        assert abs({r.query_id: r.confidence for r in found.confidence.collect()}[q] - (s.max() - s.mean()) / s.std()) < 1e-9
+    assert seen[0] <= 2 * 5 * 4
