@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from rankloom import methods
-from rankloom.operators import dense, encode, lexical, rank
+from rankloom.operators import dense, encode, lexical, metrics, rank
 
 
 @pytest.fixture
@@ -184,3 +184,13 @@ def test_nearest_examples_are_ranked_where_they_are(spark, small_batches, monkey
         s = np.array([x for _, x in scores])
         assert abs({r.query_id: r.confidence for r in found.confidence.collect()}[q] - (s.max() - s.mean()) / s.std()) < 1e-9
     assert seen[0] <= 2 * 5 * 4
+
+
+def test_leaderboard_prints_as_its_sql_does(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [k / 80 for k in range(81)] + [k / 16 for k in range(16)] + [0.0005, 0.9995, 1 / 3]
+    made = metrics.leaderboard(spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "method string, mrr double"))
+    want = {str(i): duckdb.sql(f"SELECT printf('%.3f', {v!r}::DOUBLE)").fetchall()[0][0] for i, v in enumerate(values)}
+    assert {r.method: r.value for r in made.collect()} == want and want["9"] == "0.113"
+    odd = metrics.leaderboard(spark.createDataFrame([("a", None), ("b", float("nan"))], "method string, mrr double"))
+    assert {r.method: r.value for r in odd.collect()} == {"a": "n/a", "b": "nan"}
